@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from crawlmill.plans import general
+
+_PARTS = (general,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for part in _PARTS for k, q in part.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for part in _PARTS for k, s in part.ORACLES.items()}
 FLAGSHIP = "p3_found"
