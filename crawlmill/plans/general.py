@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlmill.operators import hierarchy
+from crawlmill.operators import hierarchy, keystats
 from crawlmill.sources.tables import table
 
 
@@ -54,8 +54,44 @@ def p3_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_hierarchy": p3_hierarchy}
+URL_SHARE = 0.02
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Urls on at least two percent of all links, as targets and as sources."""
+    links = table(spark, sf, "link_record", "target_url", "source_url")
+    found = [keystats.heavy_keys(links, k, URL_SHARE) for k in ("target_url", "source_url")]
+    return found[0].unionByName(found[1]).select("key_field", "key_value")
+
+
+def p5_url_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """Links, distinct partners and distinct anchors of every target and source url."""
+    links = table(spark, sf, "link_record", "target_url", "source_url", "anchor_text")
+    targets = keystats.url_figures(links, "target_url", "source_url", "anchor_text")
+    return targets.unionByName(keystats.url_figures(links, "source_url", "target_url", "anchor_text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_hierarchy": p3_hierarchy,
+    "p5_found": p5_found,
+    "p5_url_figures": p5_url_figures,
+}
+
+
+def _figures_sql(key: str, partner: str) -> str:
+    return f"""SELECT '{key}' AS key_field, {key} AS key_value, count(*) AS links, count(nullif(anchor_text, '')) AS with_text,
+      count(DISTINCT {partner}) AS partners, count(DISTINCT nullif(anchor_text, '')) AS texts FROM link_record WHERE {key} IS NOT NULL GROUP BY {key}"""
+
+
+def _heavy_sql(key: str) -> str:
+    return f"""SELECT '{key}' AS key_field, {key} AS key_value FROM link_record WHERE {key} IS NOT NULL GROUP BY {key}
+      HAVING count(*) >= {URL_SHARE} * (SELECT count(*) FROM link_record)"""
+
+
 ORACLES: dict[str, str] = {
+    "p5_found": f"{_heavy_sql('target_url')} UNION ALL {_heavy_sql('source_url')}",
+    "p5_url_figures": f"{_figures_sql('target_url', 'source_url')} UNION ALL {_figures_sql('source_url', 'target_url')}",
     "p3_found": """
   WITH RECURSIVE d AS (SELECT crawl_url_id AS id, min(discovered_from) AS p, min(depth) AS depth FROM discovery GROUP BY 1),
   h AS (SELECT DISTINCT unnest(redirects) AS r FROM fetch_result),
