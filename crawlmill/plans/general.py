@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlmill.operators import hierarchy, keystats
+from crawlmill.operators import flatten, hierarchy, keystats, snapshots
 from crawlmill.sources.tables import table
 
 
@@ -71,11 +71,52 @@ def p5_url_figures(spark: SparkSession, sf: str) -> DataFrame:
     return targets.unionByName(keystats.url_figures(links, "source_url", "target_url", "anchor_text"))
 
 
+def _completed(spark: SparkSession, sf: str) -> DataFrame:
+    """Completed crawls with their running number in the project."""
+    runs = table(spark, sf, "crawl_run", "crawl_id", "project_id", "started_at", "status").filter("status = 'completed'").select("crawl_id", "project_id", "started_at").distinct()
+    return runs.withColumn("number", F.row_number().over(Window.partitionBy("project_id").orderBy("started_at", "crawl_id")).cast("long"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Urls added, removed or changed from one completed crawl of a project to the next."""
+    runs = _completed(spark, sf)
+    pages = table(spark, sf, "page_record", "crawl_id", "page_id", "url", "title", "content_hash", "status_code", "extracted_at")
+    rows = pages.join(runs.select("crawl_id", "project_id", "number"), "crawl_id")
+    watched = {
+        "title": F.coalesce("title", F.lit("")),
+        "content_hash": F.coalesce("content_hash", F.lit("")),
+        "status_code": F.coalesce("status_code", F.lit(0)),
+    }
+    bounds = runs.groupBy("project_id").agg(F.min("number").alias("first"), F.max("number").alias("last"))
+    found = snapshots.snapshot_changes(rows, "project_id", "number", "url", watched, ["extracted_at", "page_id"], bounds)
+    return found.join(runs.select("project_id", "number", "crawl_id"), ["project_id", "number"]).select("crawl_id", "url", "change_kind")
+
+
+def json_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """All parts of the three JSON fields."""
+    fields = (("structured_data", "structured_data", "structured_data_id", "evidence_json"), ("issue", "issue", "issue_id", "evidence_json"), ("observation", "integration_observation", "observation_id", "result"))
+    found = [flatten.flatten(table(spark, sf, name, key, field), kind, key, field) for kind, name, key, field in fields]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every object inside a JSON field but the outermost."""
+    return json_parts(spark, sf).filter("kind = 'object' and object_path <> '$'").select("record_kind", "record_key", "object_path").distinct()
+
+
+def p7_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat tables, one row per part with its table tag, key, parent and members."""
+    return json_parts(spark, sf).dropDuplicates(["pk"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_hierarchy": p3_hierarchy,
     "p5_found": p5_found,
     "p5_url_figures": p5_url_figures,
+    "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_parts": p7_parts,
 }
 
 
@@ -112,4 +153,15 @@ ORACLES: dict[str, str] = {
       WHEN cur IS NOT NULL THEN 'lost_root'
       WHEN depth <> steps THEN 'wrong_depth' END AS finding FROM z)
   SELECT k AS tree_kind, v AS node_key, finding FROM f WHERE finding IS NOT NULL""",
+    "p6_found": """
+  WITH runs AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY started_at, crawl_id) AS n
+      FROM (SELECT DISTINCT crawl_id, project_id, started_at FROM crawl_run WHERE status = 'completed')),
+  p AS (SELECT project_id, n, url, coalesce(title, '') AS t, coalesce(content_hash, '') AS h, coalesce(status_code, 0) AS s
+      FROM page_record JOIN runs USING (crawl_id) WHERE url IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY crawl_id, url ORDER BY extracted_at DESC, page_id DESC) = 1),
+  c AS (SELECT coalesce(b.project_id, a.project_id) AS project_id, coalesce(b.n, a.n + 1) AS n, coalesce(b.url, a.url) AS url,
+      CASE WHEN a.url IS NULL THEN 'added' WHEN b.url IS NULL THEN 'removed'
+           WHEN a.t <> b.t OR a.h <> b.h OR a.s <> b.s THEN 'changed' END AS change_kind
+      FROM p a FULL JOIN p b ON a.project_id = b.project_id AND a.url = b.url AND b.n = a.n + 1)
+  SELECT r.crawl_id, c.url, c.change_kind FROM c JOIN runs r ON r.project_id = c.project_id AND r.n = c.n WHERE c.n > 1 AND c.change_kind IS NOT NULL""",
 }
