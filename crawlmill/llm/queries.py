@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlmill.llm import format_duplicates, mojibake
+from crawlmill.llm import boilerplate, format_duplicates, mojibake
 from crawlmill.sources.tables import table
 
 
@@ -56,6 +56,24 @@ def p2_copies(spark: SparkSession, sf: str) -> DataFrame:
     return members.groupBy("crawl_id", "first_id").agg(F.count(F.lit(1)).alias("copies"))
 
 
+def _bodies(spark: SparkSession, sf: str) -> DataFrame:
+    fetched = table(spark, sf, "fetch_result", "fetch_id", "body").select(F.lit("fetch").alias("record_kind"), F.col("fetch_id").cast("string").alias("record_key"), "body")
+    cases = table(spark, sf, "fixture_case", "case_id", "body").select(F.lit("fixture").alias("record_kind"), F.col("case_id").alias("record_key"), "body")
+    return fetched.unionByName(cases)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Digest of each block of the article itself."""
+    return boilerplate.article_blocks(_bodies(spark, sf)).select("record_kind", "record_key", "block_md5").distinct()
+
+
+def p4_article_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Article text of each page: its blocks in order, one to a line."""
+    found = boilerplate.article_blocks(_bodies(spark, sf), text=True).dropDuplicates(["record_kind", "record_key", "position"])
+    lines = F.array_sort(F.collect_list(F.struct("position", "block")))
+    return found.groupBy("record_kind", "record_key").agg(F.array_join(F.transform(lines, lambda b: b["block"]), "\n").alias("article_text"))
+
+
 _P2_KEYS = """
   WITH n AS (SELECT DISTINCT crawl_id, page_id,
       regexp_replace(lower(coalesce(title, '')), '[^\\p{L}\\p{M}\\p{N}]+', '', 'g') AS a,
@@ -68,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_repaired": p1_repaired,
     "p2_found": p2_found,
     "p2_copies": p2_copies,
+    "p4_found": p4_found,
+    "p4_article_text": p4_article_text,
 }
 
 ORACLES: dict[str, str] = {
