@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlmill.llm import boilerplate, format_duplicates, mojibake
+from crawlmill.llm import boilerplate, format_duplicates, leakage, mixing, mojibake, spam
 from crawlmill.sources.tables import table
 
 
@@ -74,6 +74,36 @@ def p4_article_text(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("record_kind", "record_key").agg(F.array_join(F.transform(lines, lambda b: b["block"]), "\n").alias("article_text"))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the evaluation items they hold passages of."""
+    return p8_leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
+def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaks with the best passage's score and how many of the item's words are shared."""
+    return leakage.leaks(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "eval_item", "item_id", "text"))
+
+
+def p9_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents chosen for the mix with their number of copies."""
+    return mixing.mix(table(spark, sf, "documents", "doc_id", "source", "lang", "text"), table(spark, sf, "mix_target"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Wanted and really reached share of each source."""
+    return mixing.shares(p9_selection(spark, sf), table(spark, sf, "mix_target"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents made of repeated keywords, link lists or product tags."""
+    return p10_shapes(spark, sf).select("doc_id").distinct()
+
+
+def p10_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents concerned with their largest shapes."""
+    return spam.judged(table(spark, sf, "documents", "doc_id", "text")).filter("spam")
+
+
 _P2_KEYS = """
   WITH n AS (SELECT DISTINCT crawl_id, page_id,
       regexp_replace(lower(coalesce(title, '')), '[^\\p{L}\\p{M}\\p{N}]+', '', 'g') AS a,
@@ -88,9 +118,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_copies": p2_copies,
     "p4_found": p4_found,
     "p4_article_text": p4_article_text,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
+    "p9_selection": p9_selection,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_shapes": p10_shapes,
 }
 
 ORACLES: dict[str, str] = {
     "p2_found": _P2_KEYS + " SELECT first_id AS first_page_id, page_id AS copy_page_id FROM g WHERE page_id <> first_id",
     "p2_copies": _P2_KEYS + " SELECT crawl_id, first_id, CAST(max(c) AS BIGINT) AS copies FROM g WHERE c > 1 GROUP BY crawl_id, first_id",
+    "p8_found": """
+  WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS w FROM documents WHERE text <> ''),
+  i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS w FROM eval_item WHERE text IS NOT NULL),
+  s AS (SELECT item_id, w, least(10, len(w)) AS n FROM i WHERE len(w) > 0),
+  g AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM s)),
+  e AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS run
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM s)))
+  SELECT DISTINCT doc_id, item_id FROM e JOIN g USING (n, run)""",
 }
