@@ -31,8 +31,6 @@ def _tree_kind(key: str = "key"):  # noqa: ANN202
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes on or below circles, below lost roots, with a wrong depth, or too deep in a redirect chain."""
     h = hierarchies(spark, sf)
-    lost_root = h.filter("lost").select(F.col("key").alias("root"), F.lit(True).alias("root_lost"))
-    h = h.join(lost_root, "root", "left")  # hot roots are split by adaptive skew handling
     steps = F.col("depth")
     finding = (
         F.when(F.col("state") != "tree", F.col("state"))
