@@ -90,7 +90,7 @@ def robots_decisions(files: DataFrame, requests: DataFrame, agent: str) -> DataF
     rules = rules.withColumn("best", F.max("fit").over(Window.partitionBy("host"))).filter("fit = best")
     delays = rules.groupBy("host").agg(F.max("crawl_delay").alias("crawl_delay"))
     asked = requests.select("host", "path").distinct()
-    hits = asked.join(rules.filter("regex is not null"), "host").filter(F.col("path").rlike(F.col("regex")))
+    hits = asked.join(rules.filter("regex is not null"), "host").filter(F.rlike(F.col("path"), F.col("regex")))
     order = F.struct("specificity", F.col("allow").cast("int"), F.when(F.col("allow"), F.col("position")).otherwise(-F.col("position")))
     won = hits.groupBy("host", "path").agg(F.max_by(F.struct("allow", "pattern"), order).alias("w"))
     return (
