@@ -194,7 +194,7 @@ def ext_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SIMHASH = """
-  w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\s]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+  w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
   g AS (SELECT doc_id, ('0x' || substr(sha256(array_to_string(w[i:i + 2], chr(0))), 1, 16))::UBIGINT AS v
       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
   b AS (SELECT doc_id, k, 2 * sum((v >> k) & 1::UBIGINT) >= count(*) AS bit FROM g, (SELECT unnest(range(64))::UBIGINT AS k) GROUP BY doc_id, k),
