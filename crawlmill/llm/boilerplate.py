@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from crawlmill.sources.tables import spread
 
 MAX_LABELLED_PAGES = 1500  # bound of the table the tree is grown on
+CANDIDATES = 8  # pages looked at for each labelled one
 
 # Element classes of HTML.
 BLOCK = frozenset(
@@ -265,8 +266,15 @@ NAMED = r"""(?i)<(article|main)\b|(class|id)="(content|entry|post-body|text|main
 
 
 def train(pages: DataFrame) -> list[tuple[int, float, int, int, float]]:
-    """Grow the tree on at most ``MAX_LABELLED_PAGES`` pages whose container names tell, taken by hash of the key."""
-    named = pages.filter(F.col("body").rlike(NAMED)).select("body").orderBy(F.xxhash64("record_kind", "record_key")).limit(MAX_LABELLED_PAGES)
+    """Grow the tree on at most ``MAX_LABELLED_PAGES`` pages whose container names tell, the first by hash of the key.
+
+    Only pages below a hash bound that leaves about ``CANDIDATES`` times that many are looked at for labels, so
+    what is brought together for the choice doesn't grow with the pages.
+    """
+    order = F.xxhash64("record_kind", "record_key")
+    share = min(1.0, CANDIDATES * MAX_LABELLED_PAGES / max(1, pages.count()))
+    near = pages.filter(order <= F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else pages
+    named = near.filter(F.col("body").rlike(NAMED)).select("body").orderBy(order).limit(MAX_LABELLED_PAGES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
