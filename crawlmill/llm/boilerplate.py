@@ -315,6 +315,8 @@ def article_blocks(pages: DataFrame, text: bool = False) -> DataFrame:
                 continue
             keep = np.flatnonzero(predict(tree, np.array(rows, float)) > 0.5)
             keep = [k for k in keep if not _outside(found[k][4]) and found[k][1] not in REGION]
+            if not keep:
+                continue
             of = [at[k][0] for k in keep]
             said = [found[k][0] for k in keep]
             out = {
