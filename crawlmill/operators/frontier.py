@@ -25,7 +25,7 @@ def crawl(seeds: DataFrame, links: DataFrame, max_depth: int, ceiling: int | Non
     crawl, not of the data read. Nulls are no urls.
     """
     edges = links.filter("source_url is not null and target_url is not null and source_url <> target_url").select("source_url", "target_url").distinct()
-    edges = edges.filter(urls.trap(F.col("target_url")) == "")
+    edges = checkpointed(edges.filter(urls.trap(F.col("target_url")) == ""))  # used in every round
     wave = seeds.filter("url is not null").select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url"))
     seen = checkpointed(wave)
     wave = seen

@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlmill.session import checkpointed
+
 MASK = 8191
 PAIRS = tuple(itertools.combinations(range(5), 2))
 
@@ -27,7 +29,7 @@ def near_duplicates(rows: DataFrame, distance: int = 3) -> DataFrame:
     """
     if not 0 <= distance <= 3:
         raise ValueError("distance between 0 and 3")
-    known = rows.filter("sig is not null and id is not null").select("id", "sig").distinct()
+    known = checkpointed(rows.filter("sig is not null and id is not null").select("id", "sig").distinct())  # used five times
     first = known.groupBy("sig").agg(F.min("id").alias("id"))
     keys = F.array(*[F.struct(F.lit(p).alias("p"), _band(F.col("sig"), a).alias("a"), _band(F.col("sig"), b).alias("b")) for p, (a, b) in enumerate(PAIRS)])
     spread = first.select("id", "sig", F.explode(keys).alias("k")).select("id", "sig", "k.*")
