@@ -36,11 +36,13 @@ DOUBLE = (("cp1252", "cp932"), ("latin-1", "cp932"), ("cp1252", "euc_jp"), ("lat
 OPENERS, CLOSERS = set("“„‚‘«¿¡‹"), set("”’»…›–—‐‑·•")
 SYMBOLS_AFTER_WORD = set("™®²³°ºª€%′″")
 RUSSIAN = set("абвгдежзийклмнопрстуфхцчшщъыьэюяё")
-UNUSUAL_LATIN = set("ìòøåæðþÿìÌÒØÅÆÐÞĂăĹĺĽľŢţĐđŐőŰűŕŔşŞÏ")
+UNUSUAL_LATIN = set("ìòøåæðþÿÌÒØÅÆÐÞĂăĹĺĽľŢţĐđŐőŰűŕŔşŞÏƒŸ")
+# Letters that never meet in one word of a language: the first stand for Czech ones in another page.
+FOREIGN, CZECH = set("ìøùèòåæ"), set("ýíáúůž")
 # An isolated character that stands for lost bytes, or a control character no text holds.
 LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 # First bytes of two-byte characters whose second byte was dropped on the way.
-BROKEN = re.compile(r"[a-zà-ÿ][ÃÂÄÅÐÑ](?![A-ZÀ-Þ])|\bÃ(?=[a-zà-ÿ])|(?<!\w)[ÃÂ](?!\w)")
+BROKEN = re.compile(r"ï»¿|[a-zà-ÿ][ÃÂÄÅÐÑ](?![A-ZÀ-Þ])|\bÃ(?=[a-zà-ÿ])|(?<!\w)[ÃÂ](?!\w)")
 REFERENCE = re.compile(r"&#?\w+;")
 SUSPECT = r"[^\x00-\x7F]|&#?\w+;"
 
@@ -86,7 +88,8 @@ RUSSIAN_PAIRS = frozenset(
     " ик ья ад ож ча ше мы ня ру бо чи ич тв ед ый их ия ие ий ям ях ых ым му ас шк лк рк рт нт нн тн чн жн дл ля ук ум"
     " ок ек ящ щи яч жк ну ку ту ут ур ус ды ры ты сы лы пл пи ди дн дк би бр бу кл кр гр гу зм зн ме жд щи юк юш рю зо зи"
     " аг ах ач аш аз ай ак ап ев ег ей ещ ём ёг ёп ёр лё тё дё св си се сс сп сн см сь ть ль нь ьн ьк ьш рс рн рм рж хо ху хр"
-    " ши ша шу це ци цв ян яг яд ят жа же жи зы уз уд уч уп ул ем об юб лю оп оч он ох ош ощ ро тз вн вс вк вл эк эл яр ще".split()
+    " ши ша шу це ци цв ян яг яд ят жа же жи зы уз уд уч уп ул ем об юб лю оп оч он ох ош ощ ро тз вн вс вк вл эк эл яр ще"
+    " нс ух ыб ыв па ар иа са йн дя кз гк бн аж ба пе ки гл дв хл ча жи зд зе ио ию йк йс йт кт лс мп нд нг нк ню оо оя пт пя рд рл рн сы ськ тл тс уп фо хн чт шн ым ыс эт ют яв".split()
 )
 LETTER, LATIN, LATIN_MARKED, CYRILLIC = set("aAlUcCygj"), set("aAlU"), set("lU"), set("cCy")
 _kinds: dict[str, str] = {}
@@ -101,11 +104,15 @@ def token_cost(token: str) -> float:
     if known is not None:
         return known
     total, before, last, marked = 0.0, "", "", 0
+    if token in ("Ã", "Â"):
+        total = 1.5
+    elif not FOREIGN.isdisjoint(token) and not CZECH.isdisjoint(token):
+        total = 1.6
     for c in token:
         k = _kinds.get(c) or _kinds.setdefault(c, _kind(c))
         total += BASE[k]
         if c in UNUSUAL_LATIN:
-            total += 0.7
+            total += 1.0 if c in "ƒŸ" else 0.7
         elif "\uff61" <= c <= "\uff9f" or "\ue000" <= c <= "\uf8ff":  # half-width kana, private use
             total += 2.0
         if before:
@@ -123,6 +130,8 @@ def token_cost(token: str) -> float:
                 total += 2.0
             elif before in "aA0c" and k == "s" and c not in SYMBOLS_AFTER_WORD:
                 total += 2.0
+            if last == "‚" and k in LATIN_MARKED or before == "e" and k == "q":
+                total += 2.0
             if before in "sb" and k in LETTER and not (last == "°" and c in "CF"):
                 total += 1.5
             if before in "sb" and k in "sbqe":
@@ -136,7 +145,7 @@ def token_cost(token: str) -> float:
             elif pair in ("cC", "cy", "gU"):
                 total += 1.0
             if before in "cC" and k in "cC" and (last + c).lower() not in RUSSIAN_PAIRS:
-                total += 0.3
+                total += 0.4
             if (before in LATIN and k in "cCyg") or (before in "cCyg" and k in LATIN):
                 total += 2.0
             if (before == "j" and k in LATIN) or (before in LATIN and k == "j"):
@@ -159,9 +168,9 @@ def token_cost(token: str) -> float:
 def cost(text: str) -> float:
     """Implausibility of a text: the sum over its tokens plus a little for each character reference."""
     if text.isascii():
-        return 0.6 * len(REFERENCE.findall(text)) if "&" in text else 0.0
+        return 1.0 * len(REFERENCE.findall(text)) if "&" in text else 0.0
     total = sum(map(token_cost, text.split(" ")))
-    return total + 0.6 * len(REFERENCE.findall(text)) if "&" in text else total
+    return total + len(REFERENCE.findall(text)) if "&" in text else total
 
 
 def _bytes_of(codec: str) -> dict[int, int]:
@@ -222,17 +231,17 @@ def _redecode(text: str, codec: str) -> str:
 
 
 def _swap(text: str, pair: tuple[str, str]) -> str:
-    """Re-read the words that hold non-ASCII characters of one single-byte page in another page."""
-    table = PAIRS[pair]
+    """Re-read the words that hold non-ASCII characters of one single-byte page in another page.
 
-    def fix(m: re.Match) -> str:
-        word = m.group()
-        if any(ord(c) > 127 and ord(c) not in table for c in word):
-            return word
-        said = word.translate(table)
-        return said if token_cost(said) < token_cost(word) else word
-
-    return WORDS.sub(fix, text)
+    Where no word becomes more plausible the text stays; else words that become less plausible stay.
+    """
+    table = PAIRS[pair]
+    words = {w for w in WORDS.findall(text) if all(ord(c) < 128 or ord(c) in table for c in w)}
+    said = {w: w.translate(table) for w in words}
+    gain = {w: token_cost(w) - token_cost(v) for w, v in said.items()}
+    if not any(g > 0 for g in gain.values()):
+        return text
+    return WORDS.sub(lambda m: said[m.group()] if gain.get(m.group(), -1.0) >= -1e-9 else m.group(), text)
 
 
 def _double_byte(text: str, codec: str, target: str) -> str:
@@ -272,7 +281,7 @@ def neighbours(text: str) -> Iterator[tuple[str, str, float]]:
     for pair in SINGLE:
         out = _swap(text, pair)
         if out != text and out.count("�") <= text.count("�"):
-            yield ">".join(pair), out, CHARSET_COST + 0.3
+            yield ">".join(pair), out, CHARSET_COST + 0.1
 
 
 def repair(text: str | None) -> tuple[str | None, str, bool]:
