@@ -23,12 +23,13 @@ from crawlmill.sources.tables import spread
 SHORT_PIECE, LONG_RUN = 5, 45
 FEW_SHAPES, LEAST_WORDS, LEAST_PIECES = 6, 12, 4
 TOP_WORDS, TOP_SHARE, TOP_LEAST = 6, 0.57, 20
-RUN_LEAST, RUN_DISTINCT = 12, 0.8
+RUN_LEAST, RUN_DISTINCT, LONG_DISTINCT = 12, 0.8, 0.72
+SENTENCE_LEAST, SENTENCE_PIECES = 8, 4
 
 WORD = re.compile(r"[^\W_]+")
 LINK = re.compile(r"\[[^\]\n]*\]\([^)\n]*\)|https?://\S+|\bwww\.\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|info|example|io|de|fr|es|co|test|invalid|shop|biz)\b(?:/\S*)?", re.I)
 # What ends a piece: a separator with blanks, punctuation, or a tag's beginning.
-CUT = re.compile(r"[,;|/•·»›→>]+(?=\s|$)|\s+[-–—/|•·→>»*]+\s+|\s{2,}|[.!?…。]+(?=\s|$)|(?<=\s)(?=#\w)|\t+")
+CUT = re.compile(r"[,;|/•·»›→>]+(?=\s|$)|\s+[-–—/|•·→>»*]+\s+|[.!?…。]+(?=\s|$)|(?<=\s)(?=#\w)|\t+")
 MAYBE_LINK = re.compile(r"://|\]\(|\w\.[a-z]", re.I)
 TAG = re.compile(r"^\s*(?:#\w+|\w[\w.]{0,15}\s?[=:]\s?\S.*)$")
 SENTENCE_END = set(".!?…。:")
@@ -78,27 +79,50 @@ def judge(text: str | None) -> tuple[float, int, int, str]:
                 odd_pieces += len(links)
                 shapes["link"] += n
                 continue
+        held: list[tuple[str, str, list[str]]] = []
         for piece, end in pieces(line):
             words = WORD.findall(piece)
-            k = len(words)
-            if not k:
+            if words:
+                held.append((piece, end, words))
+            if end == ",":
                 continue
-            total += k
-            if SHORT_PIECE < k <= LONG_RUN and not links:
-                if k >= RUN_LEAST and end == " " and len({w.lower() for w in words}) <= RUN_DISTINCT * k * (1 if piece[0].islower() else 0.75):
-                    odd_words += k  # an open run of words that come again
-                    odd_pieces += k // SHORT_PIECE
-                    shapes["run"] += k
+            # The pieces of one sentence: a few clauses of a whole one are no list.
+            size = sum(len(w) for _, _, w in held)
+            total += size
+            whole = end == "." and SENTENCE_LEAST <= size <= LONG_RUN and len(held) <= SENTENCE_PIECES and not links
+            for part, mark_end, said in held:
+                k = len(said)
+                if whole and not TAG.match(part):
+                    kept += said
+                    continue
+                if k > SHORT_PIECE and not links:
+                    limit = RUN_DISTINCT * (1 if part[0].islower() else 0.75) if k <= LONG_RUN else LONG_DISTINCT
+                    if k >= RUN_LEAST and (mark_end == " " or k > LONG_RUN) and len({w.lower() for w in said}) <= limit * k:
+                        odd_words += k  # an open run of words that come again
+                        odd_pieces += k // SHORT_PIECE
+                        shapes["run"] += k
+                    else:
+                        kept += said
+                    continue
+                mark = shape(part, mark_end, k, bool(links))
+                if _odd(mark):
+                    odd_words += k
+                    odd_pieces += 1
+                    shapes[mark] += k
                 else:
-                    kept += words
-                continue
-            mark = shape(piece, end, k, bool(links))
-            if _odd(mark):
-                odd_words += k
-                odd_pieces += 1 + k // (2 * SHORT_PIECE)
-                shapes[mark] += k
-            else:
-                kept += words
+                    kept += said
+            held = []
+        if held:  # the line ends within a list
+            for part, mark_end, said in held:
+                k = len(said)
+                total += k
+                mark = shape(part, mark_end, k, bool(links))
+                if k <= SHORT_PIECE or (links and _odd(mark)):
+                    odd_words += k
+                    odd_pieces += 1
+                    shapes[mark] += k
+                else:
+                    kept += said
     if len(kept) >= TOP_LEAST:  # sentence-like pieces made of the same few words
         counts = sorted(Counter(" ".join(kept).lower().split(" ")).values())
         if sum(counts[-TOP_WORDS:]) >= TOP_SHARE * len(kept):
