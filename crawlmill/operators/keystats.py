@@ -8,6 +8,7 @@ A key reaches the reduction at most once per split however many rows it owns, so
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,8 +98,8 @@ def dense_sums(df: DataFrame, key: str, flags: dict[str, str]) -> DataFrame:
 
 def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """Non-null values of ``key`` on at least ``share`` of all rows (rows with a null key count in the whole)."""
-    least = df.count() * share
-    return dense_sums(df, key, {}).filter(F.col("rows") >= F.lit(least)).select(F.lit(key).alias("key_field"), "key_value", "rows")
+    least = math.ceil(df.count() * share - 1e-6)  # a whole number, so a share exactly met isn't lost to rounding
+    return dense_sums(df, key, {}).filter(F.col("rows") >= F.lit(max(1, least))).select(F.lit(key).alias("key_field"), "key_value", "rows")
 
 
 def url_figures(df: DataFrame, key: str, partner: str, text: str) -> DataFrame:

@@ -184,3 +184,24 @@ def type_closure(parents: DataFrame, rounds: int = 64) -> DataFrame:
             break
         size = now
     return pairs
+
+
+def guidance_findings(nodes: DataFrame, keys: list[str], properties: DataFrame, closure: DataFrame) -> DataFrame:
+    """Nodes whose types fit none of a property's domains, and nested nodes that fit none of its ranges.
+
+    ``nodes`` has ``block_index, path, types, properties`` (one row per typed node), ``properties`` has ``name,
+    domains, ranges``, ``closure`` the pairs of ``type_closure``. A property without domains or ranges, and a node
+    without types, is not judged. Returns ``keys, block_index, path, property, message``.
+    """
+    at = [*keys, "block_index"]
+    typed = nodes.filter(F.size("types") > 0)
+    used = typed.select(*at, "path", "types", F.explode("properties").alias("property")).join(properties.withColumnRenamed("name", "property"), "property")
+    nested = typed.select(*at, F.col("path").alias("inner"), F.col("types").alias("inner_types"), F.regexp_replace("path", r"(\[\d+\])+$", "").alias("slot"))
+    slot = used.filter(F.size("ranges") > 0).withColumn("slot", F.concat("path", F.lit("."), "property")).join(nested, [*at, "slot"])
+    domain = "Schema.org domain guidance may not match the node type"
+    rangy = "Schema.org range guidance may not match the nested node type"
+    asked = used.filter(F.size("domains") > 0).select(*at, "path", "property", F.lit(domain).alias("message"), "types", F.col("domains").alias("wanted"))
+    asked = asked.unionByName(slot.select(*at, F.col("inner").alias("path"), "property", F.lit(rangy).alias("message"), F.col("inner_types").alias("types"), F.col("ranges").alias("wanted")))
+    which = [*at, "path", "property", "message"]
+    fits = asked.select(*which, F.explode("types").alias("name"), "wanted").join(closure, "name").filter(F.array_contains("wanted", F.col("ancestor"))).select(*which).distinct()
+    return asked.select(*which).distinct().join(fits, which, "left_anti")

@@ -609,3 +609,20 @@ def ca_title(spark: SparkSession, sf: str) -> DataFrame:
     """Values of one selector."""
     out = audits.run_audits(_html(spark, sf), "fetch_id", DEFINITIONS[:1])
     return out.filter("condition_met").select("fetch_id", F.explode("values").alias("value"))
+
+
+# External metrics.
+
+
+@query(
+    "src_field_metrics",
+    """SELECT observation_id, metric, json_extract_string(result, '$.metrics.' || metric || '.percentiles.p75') AS p75, CAST(json_array_length(result, '$.metrics.' || metric || '.histogram') AS BIGINT) AS bins
+      FROM (SELECT observation_id, result, unnest(json_keys(result, '$.metrics')) AS metric FROM (SELECT DISTINCT observation_id, result FROM integration_observation
+      WHERE provider = 'chrome-ux-report' AND json_valid(result) AND json_type(result::JSON) = 'OBJECT') WHERE json_type(result::JSON, '$.metrics') = 'OBJECT')""",
+)
+def src_field_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Field metrics of the observations, one row per metric; bins come as numbers or texts."""
+    rows = table(spark, sf, "integration_observation", "observation_id", "provider", "result").filter("provider = 'chrome-ux-report'").select("observation_id", "result").distinct()
+    parsed = rows.select("observation_id", F.from_json("result", "metrics map<string, struct<percentiles: struct<p75: string>, histogram: array<string>>>").alias("m"))
+    out = parsed.select("observation_id", F.explode("m.metrics").alias("metric", "v"))
+    return out.select("observation_id", "metric", F.col("v.percentiles.p75").alias("p75"), F.when(F.col("v.histogram").isNotNull(), F.size("v.histogram")).cast("long").alias("bins"))

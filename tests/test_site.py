@@ -67,6 +67,24 @@ def test_vocabulary(spark):
     assert ("a", "d") in closure and ("x", "x") in closure and len(closure) == 4 + 3 + 2 + 1 + 4
 
 
+def test_guidance(spark):
+    kind = "id int, block_index int, path string, types array<string>, properties array<string>"
+    nodes = spark.createDataFrame([(1, 0, "$", ["Product"], ["offers", "cook"]), (1, 0, "$.offers[0]", ["Person"], ["name"]), (1, 0, "$.offers[1]", ["Offer"], []), (1, 0, "$.x", [], ["cook"])], kind)
+    props = spark.createDataFrame([("offers", ["Product"], ["Offer"]), ("cook", ["Recipe"], []), ("name", ["Thing"], [])], "name string, domains array<string>, ranges array<string>")
+    closure = rules.type_closure(spark.createDataFrame([("Product", "Thing"), ("Person", "Thing"), ("Offer", "Thing"), ("Recipe", "Thing")], "name string, parent string"))
+    got = {(r.path, r.property, r.message.split()[1]) for r in rules.guidance_findings(nodes, ["id"], props, closure).collect()}
+    assert got == {("$", "cook", "domain"), ("$.offers[0]", "offers", "range")}
+
+
+def test_vocabulary_builder(spark):
+    from crawlmill.sources import vocabulary
+
+    graph = {"@graph": [{"@id": "schema:Product", "@type": "rdfs:Class", "rdfs:subClassOf": {"@id": "schema:Thing"}}, {"@id": "schema:old", "@type": "rdf:Property", "schema:domainIncludes": [{"@id": "schema:Product"}, {"@id": "schema:Thing"}], "schema:rangeIncludes": {"@id": "schema:Text"}, "schema:supersededBy": {"@id": "schema:new"}}, {"@id": 3}]}
+    df = spark.createDataFrame([(json.dumps(graph),), (None,), ("{",)], "text string")
+    got = {r.name: r for r in vocabulary.terms(df, "text").collect()}
+    assert got["Product"].parents == ["Thing"] and got["old"].domains == ["Product", "Thing"] and got["old"].superseded_by == "new" and len(got) == 2
+
+
 def greedy(sigs, distance):
     """Earlier documents by the first pair of bands met, then the smallest id."""
     out = {}
