@@ -31,7 +31,7 @@ SINGLE = (
     ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp437", "cp1252"), ("cp1252", "cp437"), ("cp850", "cp1252"), ("cp1252", "cp850"),
     ("cp1250", "cp1252"), ("iso8859-2", "cp1250"), ("cp1250", "iso8859-2"),
 )
-CHARSET_COST, ESCAPE_COST, MAX_EXPANSIONS = 1.0, 0.3, 80
+CHARSET_COST, ESCAPE_COST, GAIN, MAX_EXPANSIONS, PATIENCE = 1.0, 0.3, 0.25, 80, 20
 DOUBLE = (("cp1252", "cp932"), ("latin-1", "cp932"), ("cp1252", "euc_jp"), ("latin-1", "euc_jp"))
 OPENERS, CLOSERS = set("“„‚‘«¿¡‹"), set("”’»…›–—‐‑·•")
 SYMBOLS_AFTER_WORD = set("™®²³°ºª€%′″")
@@ -64,7 +64,7 @@ def _kind(c: str) -> str:
         return "n"
     if o == 0xAD:
         return "h"
-    if o < 0x250 and c.isalpha() and c not in "ªº":
+    if (o < 0x180 or c in "șțȘȚƒ") and c.isalpha() and c not in "ªº":
         return "l" if c.islower() else "U"
     if 0x400 <= o < 0x530:
         low = c.lower()
@@ -77,10 +77,10 @@ def _kind(c: str) -> str:
         return "b"
     if unicodedata.category(c) in ("Mn", "Mc"):
         return "m"
-    return "s" if o < 0x2600 else "o"
+    return "s" if o < 0x2600 and not c.isalpha() or c in "ªº" else "o"
 
 
-BASE = {"a": 0, "A": 0, "0": 0, "p": 0, "l": 0.03, "U": 0.05, "c": 0, "C": 0.03, "y": 2.5, "j": 0.01, "q": 0.1, "e": 0.03, "s": 0.2, "n": 0.05, "h": 1.5, "x": 5, "r": 6, "b": 3, "g": 1.5, "m": 0.5, "o": 1.0}
+BASE = {"a": 0, "A": 0, "0": 0, "p": 0, "l": 0.03, "U": 0.05, "c": 0, "C": 0.03, "y": 2.5, "j": 0.01, "q": 0.1, "e": 0.03, "s": 0.2, "n": 0.05, "h": 1.5, "x": 5, "r": 6, "b": 3, "g": 1.5, "m": 0.5, "o": 2.0}
 # The most frequent pairs of letters in Russian words.
 RUSSIAN_PAIRS = frozenset(
     "ст но то на ен ов ни ра во ко ро ос ал по го пр ре ом ли ла ор не ет от ер ан ол ес ка ел те ле ва ит ат та"
@@ -110,7 +110,7 @@ def token_cost(token: str) -> float:
         total = 1.6
     for c in token:
         k = _kinds.get(c) or _kinds.setdefault(c, _kind(c))
-        total += BASE[k]
+        total += BASE[k] if before or k != "b" else 0.5
         if c in UNUSUAL_LATIN:
             total += 1.0 if c in "ƒŸ" else 0.7
         elif "\uff61" <= c <= "\uff9f" or "\ue000" <= c <= "\uf8ff":  # half-width kana, private use
@@ -293,15 +293,17 @@ def repair(text: str | None) -> tuple[str | None, str, bool]:
         return text, "", False
     start = cost(text)
     best, best_total, steps = text, start, ""
+    if start > CHARSET_COST and "�" in text and cost(text.replace("�", "")) <= CHARSET_COST:
+        return text, "", True  # nothing but lost characters
     if start > CHARSET_COST:
-        heap = [(start, 0, 0.0, text, "")]
-        seen, order, expansions = {hash(text)}, 0, 0
-        while heap and expansions < MAX_EXPANSIONS:
-            total, _, way, state, path = heapq.heappop(heap)
+        heap = [(start, 0, start, 0.0, text, "")]
+        seen, order, expansions, improved = {hash(text)}, 0, 0, 0
+        while heap and expansions < MAX_EXPANSIONS and expansions - improved <= PATIENCE:
+            _, _, total, way, state, path = heapq.heappop(heap)
             if total < best_total - 1e-9:
-                best, best_total, steps = state, total, path
-            if way + ESCAPE_COST >= best_total:  # any way on costs more than the best text found
-                continue
+                best, best_total, steps, improved = state, total, path, expansions
+            if way + (ESCAPE_COST if "&" in state else CHARSET_COST) + (GAIN if way else 0.0) >= best_total:
+                continue  # any way on costs about as much as the best text found, or more
             expansions += 1
             for name, out, step in neighbours(state):
                 key = hash(out)
@@ -309,8 +311,10 @@ def repair(text: str | None) -> tuple[str | None, str, bool]:
                     seen.add(key)
                     order += 1
                     there = cost(out) + way + step
-                    if there < start + 2.5 or name == "unescape":
-                        heapq.heappush(heap, (there, order, way + step, out, f"{path} {name}".strip()))
+                    if there < start + 2.5 or name == "unescape" or name.endswith(">utf-8"):
+                        # Well-formed UTF-8 is no accident: such states are looked at before others as plausible.
+                        first = there - 0.8 * (there - way - step) if name.endswith(">utf-8") else there
+                        heapq.heappush(heap, (first, order, there, way + step, out, f"{path} {name}".strip()))
     wrong = ">" in steps or bool(LOST.search(text) or BROKEN.search(text))
     return best, steps, wrong
 
