@@ -94,13 +94,14 @@ def issue_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 def architecture(pages: DataFrame, links: DataFrame) -> DataFrame:
     """Per page: inlinks and outlinks among internal links, score, whether it is an orphan.
 
-    Links are counted per url before any join, so a target with a tenth of all links costs no more than others.
+    Both ends of a link are counted in one aggregation per url before the join, so a target with a tenth of all
+    links costs no more than others.
     """
-    inner = links.filter("kind = 'internal'")
-    into = inner.groupBy("crawl_id", F.col("target_url").alias("url")).agg(F.count(F.lit(1)).alias("inlinks"))
-    out = inner.groupBy("crawl_id", F.col("source_url").alias("url")).agg(F.count(F.lit(1)).alias("outlinks"))
+    end = lambda url, i, o: F.struct(F.col(url).alias("url"), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    ends = links.filter("kind = 'internal'").select("crawl_id", F.explode(F.array(end("target_url", 1, 0), end("source_url", 0, 1))).alias("e")).select("crawl_id", "e.*")
+    counted = ends.filter("url is not null").groupBy("crawl_id", "url").agg(F.sum("i").alias("inlinks"), F.sum("o").alias("outlinks"))
     rows = pages.select("crawl_id", "url", "page_id", F.coalesce("depth", F.lit(0)).alias("depth"), "status_code")
-    rows = rows.join(into, ["crawl_id", "url"], "left").join(out, ["crawl_id", "url"], "left").na.fill(0, ["inlinks", "outlinks"])
+    rows = rows.join(counted, ["crawl_id", "url"], "left").na.fill(0, ["inlinks", "outlinks"])
     score = (2 * F.col("inlinks") + F.col("outlinks")) / (F.col("depth") + 1)
     return rows.withColumns({"score": score, "orphan": (F.col("depth") > 0) & (F.col("inlinks") == 0)})
 

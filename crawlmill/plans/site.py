@@ -469,7 +469,7 @@ def q_architecture(spark: SparkSession, sf: str) -> DataFrame:
 def q_architecture_top(spark: SparkSession, sf: str) -> DataFrame:
     """Highest ranked pages of each crawl."""
     nodes = reads.architecture(ev.pages(spark, sf, "page_id", "depth", "status_code"), ev.links(spark, sf, "source_url", "target_url", "kind"))
-    return reads.top_nodes(nodes, 20).select("crawl_id", "page_id", "inlinks", "rank")
+    return reads.top_nodes(nodes, 20).select("crawl_id", "page_id", "inlinks", F.col("rank").cast("long").alias("rank"))
 
 
 @query(

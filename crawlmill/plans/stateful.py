@@ -61,7 +61,7 @@ def st_outcome(spark: SparkSession, sf: str) -> DataFrame:
     """State of every url after its attempts."""
     rows = table(spark, sf, "fetch_result", "requested_url", "fetch_id", "status_code", "started_at").filter("requested_url is not null").distinct()
     attempts = rows.withColumn("attempt", F.row_number().over(Window.partitionBy("requested_url").orderBy("started_at", "fetch_id")))
-    return frontier.outcome(attempts.select("requested_url", "attempt", "status_code"), "requested_url").select("requested_url", "attempt", "state")
+    return frontier.outcome(attempts.select("requested_url", "attempt", "status_code"), "requested_url").select("requested_url", F.col("attempt").cast("long").alias("attempt"), "state")
 
 
 @query(

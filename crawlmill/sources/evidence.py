@@ -19,10 +19,13 @@ def pages(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
-    """Edges, each delivered once: crawl, link, and ``fields``."""
+    """Edges, each delivered once: crawl, link, and ``fields``.
+
+    A row delivered twice is equal in every column, so a hash aggregation over the columns used is enough; filters
+    on them pass through it to the scan.
+    """
     names = fields or ("source_url", "target_url", "anchor_text", "rel", "kind")
-    rows = table(spark, sf, "link_record", "crawl_id", "link_id", *names)
-    return rows.groupBy("crawl_id", "link_id").agg(*[F.first(n).alias(n) for n in names])
+    return table(spark, sf, "link_record", "crawl_id", "link_id", *names).distinct()
 
 
 def discovered(spark: SparkSession, sf: str) -> DataFrame:
