@@ -11,7 +11,7 @@ from crawlmill.operators import flatten, hierarchy, keystats, snapshots
 from crawlmill.sources.tables import table
 
 
-def hierarchies(spark: SparkSession, sf: str) -> DataFrame:
+def hierarchies(spark: SparkSession, sf: str, paths: bool = True) -> DataFrame:
     """Discovery trees and redirect chains in one pass; keys carry the kind of their tree."""
     found = table(spark, sf, "discovery", "crawl_url_id", "discovered_from", "depth").select(
         F.concat(F.lit("d:"), F.col("crawl_url_id").cast("string")).alias("key"),
@@ -21,7 +21,7 @@ def hierarchies(spark: SparkSession, sf: str) -> DataFrame:
     hops = table(spark, sf, "fetch_result", "redirects").select(F.explode("redirects").alias("h")).select("h.source_url", "h.target_url")
     sources = hops.filter("source_url is not null").groupBy("source_url").agg(F.min("target_url").alias("target_url"))
     chains = sources.select(F.concat(F.lit("r:"), F.col("source_url")).alias("key"), F.concat(F.lit("r:"), F.col("target_url")).alias("parent"), F.lit(None).cast("long").alias("recorded"))
-    return hierarchy.hierarchy(found.unionByName(chains))
+    return hierarchy.hierarchy(found.unionByName(chains), paths=paths)
 
 
 def _tree_kind(key: str = "key"):  # noqa: ANN202
@@ -30,7 +30,7 @@ def _tree_kind(key: str = "key"):  # noqa: ANN202
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes on or below circles, below lost roots, with a wrong depth, or too deep in a redirect chain."""
-    h = hierarchies(spark, sf)
+    h = hierarchies(spark, sf, paths=False)
     steps = F.col("depth")
     finding = (
         F.when(F.col("state") != "tree", F.col("state"))
