@@ -15,6 +15,50 @@ LANGUAGE = r"(?i)^(x-default|[a-z]{2,3}(-[a-z]{2}|-[0-9]{3})?)\z"
 SPACE = r"^[\s\u0085   -     　]+|[\s\u0085   -     　]+$"
 
 
+# Rule, severity and message of every finding.
+FOUND = {
+    "response_successful": ("AUD-01", "error", "Page response is not successful"),
+    "resource_response_successful": ("AUD-01", "error", "Resource response is not successful"),
+    "title_missing_empty": ("AUD-02", "error", "Title is missing or empty"),
+    "title_shorter_configured": ("AUD-02", "warning", "Title is shorter than the configured threshold"),
+    "title_longer_configured": ("AUD-02", "warning", "Title is longer than the configured threshold"),
+    "meta_description_missing": ("AUD-02", "warning", "Meta description is missing or empty"),
+    "meta_description_shorter": ("AUD-02", "info", "Meta description is shorter than the configured threshold"),
+    "meta_description_longer": ("AUD-02", "warning", "Meta description is longer than the configured threshold"),
+    "h1_missing": ("AUD-03", "warning", "H1 is missing"),
+    "multiple_h1_headings": ("AUD-03", "warning", "Page has multiple H1 headings"),
+    "title_and_h1": ("AUD-03", "info", "Title and H1 are identical"),
+    "canonical_absent": ("AUD-04", "info", "Canonical is absent"),
+    "conflicting_canonical_elements": ("AUD-04", "error", "Page has conflicting canonical elements"),
+    "canonical_target_invalid": ("AUD-04", "error", "Canonical target is invalid"),
+    "indexable": ("AUD-05", "error", "Page is not indexable"),
+    "indexable_sitemap": ("AUD-06", "info", "Indexable page was not observed in a sitemap"),
+    "blocked_robots_txt": ("AUD-07", "warning", "URL is blocked by robots.txt"),
+    "exact_content_duplicates": ("AUD-08", "warning", "Page has exact content duplicates"),
+    "hreflang_language_region": ("AUD-09", "warning", "Hreflang language or region is invalid"),
+    "images_missing_alt": ("AUD-10", "warning", "Images are missing alt attributes"),
+    "deeper_configured_threshold": ("AUD-11", "warning", "Page is deeper than the configured threshold"),
+    "recorded_internal_inlinks": ("AUD-11", "warning", "Page has no recorded internal inlinks"),
+    "contains_internal_nofollow": ("AUD-11", "info", "Page contains internal nofollow links"),
+    "https_references_http": ("AUD-12", "error", "HTTPS page references HTTP resources"),
+    "content_security_policy": ("AUD-12", "info", "Content-Security-Policy header was not observed"),
+    "json_ld_syntax": ("AUD-13", "error", "JSON-LD syntax is invalid"),
+    "json_ld_structure": ("AUD-13", "error", "JSON-LD structure is invalid"),
+    "compact_structured_data": ("AUD-13", "warning", "Compact structured-data types have no observed Schema.org context"),
+    "responsive_viewport_declaration": ("AUD-15", "warning", "Responsive viewport declaration is absent"),
+    "viewport_declare_device": ("AUD-15", "warning", "Viewport does not declare device width"),
+    "amp_alternate_self": ("AUD-15", "error", "AMP alternate self-references the current page"),
+    "mobile_alternate_self": ("AUD-15", "error", "Mobile alternate self-references the current page"),
+    "images_omit_declared": ("AUD-16", "warning", "Images omit declared width or height"),
+    "image_resource_exceeds": ("AUD-16", "warning", "Image resource exceeds the review-size threshold"),
+    "image_uses_legacy": ("AUD-16", "warning", "Image uses a legacy web delivery format"),
+    "pdf_title_metadata": ("AUD-17", "warning", "PDF title metadata was not observed"),
+    "pdf_document_language": ("AUD-17", "warning", "PDF document language was not observed"),
+    "tagged_pdf_marker": ("AUD-17", "warning", "Tagged PDF marker was not observed"),
+    "pdf_encryption_dictionary": ("AUD-17", "info", "PDF encryption dictionary was observed"),
+}
+
+
 def trimmed(c: Column) -> Column:
     """Trimmed of all Unicode white space; null becomes empty."""
     return F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, "")
@@ -60,44 +104,44 @@ def page_findings(pages: DataFrame, keys: list[str]) -> DataFrame:
     no = F.lit
     bad = F.filter(F.coalesce(p["hreflangs"], F.array().cast(_type(pages, "hreflangs"))), lambda h: ~h["language"].rlike(LANGUAGE))
     data = F.coalesce(p["structured_data"], F.array().cast(_type(pages, "structured_data")))
-    per_language = F.transform(bad, lambda h: finding(no(True), "AUD-09", "warning", "Hreflang language or region is invalid", hreflang=h["language"], target=h["url"]))
+    per_language = F.transform(bad, lambda h: finding(no(True), *FOUND["hreflang_language_region"], hreflang=h["language"], target=h["url"]))
     compact = lambda d: F.exists(d["types"], lambda t: (F.trim(t) != "") & ~t.contains(":"))
     known = lambda d: F.exists(d["contexts"], lambda c: F.rtrim(F.lower(F.trim(c)), F.lit("/")).isin("https://schema.org", "http://schema.org") | (c == "[inline context]"))
-    syntax = F.transform(data, lambda d, i: finding(~d["valid"], "AUD-13", "error", "JSON-LD syntax is invalid", format=d["format"], block_index=i))
-    structure = F.transform(data, lambda d, i: finding(d["valid"] & (F.size(d["structural_errors"]) > 0), "AUD-13", "error", "JSON-LD structure is invalid", block_index=i, errors=d["structural_errors"]))
+    syntax = F.transform(data, lambda d, i: finding(~d["valid"], *FOUND["json_ld_syntax"], format=d["format"], block_index=i))
+    structure = F.transform(data, lambda d, i: finding(d["valid"] & (F.size(d["structural_errors"]) > 0), *FOUND["json_ld_structure"], block_index=i, errors=d["structural_errors"]))
     context = F.transform(
         data,
-        lambda d, i: finding(d["valid"] & (d["format"] == "json-ld") & compact(d) & ~known(d), "AUD-13", "warning", "Compact structured-data types have no observed Schema.org context", block_index=i, types=d["types"]),
+        lambda d, i: finding(d["valid"] & (d["format"] == "json-ld") & compact(d) & ~known(d), *FOUND["compact_structured_data"], block_index=i, types=d["types"]),
     )
     checks = [
-        finding((status < 200) | (status >= 400), "AUD-01", "error", "Page response is not successful", status_code=status),
-        finding(title == 0, "AUD-02", "error", "Title is missing or empty", field=no("title"), length=title),
-        finding((title > 0) & (title < TITLE[0]), "AUD-02", "warning", "Title is shorter than the configured threshold", field=no("title"), length=title, minimum=no(TITLE[0])),
-        finding(title > TITLE[1], "AUD-02", "warning", "Title is longer than the configured threshold", field=no("title"), length=title, maximum=no(TITLE[1])),
-        finding(description == 0, "AUD-02", "warning", "Meta description is missing or empty", field=no("meta_description"), length=description),
-        finding((description > 0) & (description < DESCRIPTION[0]), "AUD-02", "info", "Meta description is shorter than the configured threshold", field=no("meta_description"), length=description, minimum=no(DESCRIPTION[0])),
-        finding(description > DESCRIPTION[1], "AUD-02", "warning", "Meta description is longer than the configured threshold", field=no("meta_description"), length=description, maximum=no(DESCRIPTION[1])),
-        finding(F.size(h1) == 0, "AUD-03", "warning", "H1 is missing", h1_count=no(0)),
-        finding(F.size(h1) > 1, "AUD-03", "warning", "Page has multiple H1 headings", h1_count=F.size(h1)),
-        finding(F.coalesce(F.lower(trimmed(first_h1)) == F.lower(trimmed(p["title"])), no(False)) & first_h1.isNotNull(), "AUD-03", "info", "Title and H1 are identical", title=p["title"], h1=first_h1),
-        finding(F.size(canonicals) == 0, "AUD-04", "info", "Canonical is absent", canonical_count=no(0)),
-        finding(F.size(canonicals) > 1, "AUD-04", "error", "Page has conflicting canonical elements", canonicals=canonicals),
-        finding((F.size(canonicals) == 1) & ~F.coalesce(F.get(canonicals, 0), no("")).rlike("(?i)^https?://[^/?#]"), "AUD-04", "error", "Canonical target is invalid", canonical=F.get(canonicals, 0)),
-        finding((status != 200) | noindex, "AUD-05", "error", "Page is not indexable", status_code=status, noindex=noindex),
-        finding(~F.coalesce("in_sitemap", no(False)) & (status == 200) & ~noindex, "AUD-06", "info", "Indexable page was not observed in a sitemap", in_sitemap=no(False)),
-        finding(F.coalesce("robots_blocked", no(False)), "AUD-07", "warning", "URL is blocked by robots.txt", robots_blocked=no(True)),
-        finding(F.coalesce(F.col("exact_duplicate_count"), no(0)) > 0, "AUD-08", "warning", "Page has exact content duplicates", content_hash=p["content_hash"], duplicate_count=F.col("exact_duplicate_count")),
-        finding(no_alt > 0, "AUD-10", "warning", "Images are missing alt attributes", missing_alt=no_alt, image_count=F.size(images)),
-        finding(no_size > 0, "AUD-16", "warning", "Images omit declared width or height", missing_dimensions=no_size, image_count=F.size(images)),
-        finding(viewport == "", "AUD-15", "warning", "Responsive viewport declaration is absent", viewport=no("")),
-        finding((viewport != "") & ~viewport.contains("width=device-width"), "AUD-15", "warning", "Viewport does not declare device width", viewport=p["viewport"]),
-        finding((p["amp_url"] != "") & urls.same_url(p["amp_url"], F.col("document_url")), "AUD-15", "error", "AMP alternate self-references the current page", amp_url=p["amp_url"]),
-        finding((p["mobile_alternate"] != "") & urls.same_url(p["mobile_alternate"], F.col("document_url")), "AUD-15", "error", "Mobile alternate self-references the current page", mobile_alternate=p["mobile_alternate"]),
-        finding(depth > DEEP, "AUD-11", "warning", "Page is deeper than the configured threshold", depth=depth, threshold=no(DEEP)),
-        finding((depth > 0) & (inlinks == 0), "AUD-11", "warning", "Page has no recorded internal inlinks", inlinks=no(0)),
-        finding(nofollow > 0, "AUD-11", "info", "Page contains internal nofollow links", nofollow_links=nofollow),
-        finding(https & (mixed > 0), "AUD-12", "error", "HTTPS page references HTTP resources", mixed_content_references=mixed),
-        finding(https & (F.coalesce(F.element_at("headers", "content-security-policy"), no("")) == ""), "AUD-12", "info", "Content-Security-Policy header was not observed", header=no("Content-Security-Policy")),
+        finding((status < 200) | (status >= 400), *FOUND["response_successful"], status_code=status),
+        finding(title == 0, *FOUND["title_missing_empty"], field=no("title"), length=title),
+        finding((title > 0) & (title < TITLE[0]), *FOUND["title_shorter_configured"], field=no("title"), length=title, minimum=no(TITLE[0])),
+        finding(title > TITLE[1], *FOUND["title_longer_configured"], field=no("title"), length=title, maximum=no(TITLE[1])),
+        finding(description == 0, *FOUND["meta_description_missing"], field=no("meta_description"), length=description),
+        finding((description > 0) & (description < DESCRIPTION[0]), *FOUND["meta_description_shorter"], field=no("meta_description"), length=description, minimum=no(DESCRIPTION[0])),
+        finding(description > DESCRIPTION[1], *FOUND["meta_description_longer"], field=no("meta_description"), length=description, maximum=no(DESCRIPTION[1])),
+        finding(F.size(h1) == 0, *FOUND["h1_missing"], h1_count=no(0)),
+        finding(F.size(h1) > 1, *FOUND["multiple_h1_headings"], h1_count=F.size(h1)),
+        finding(F.coalesce(F.lower(trimmed(first_h1)) == F.lower(trimmed(p["title"])), no(False)) & first_h1.isNotNull(), *FOUND["title_and_h1"], title=p["title"], h1=first_h1),
+        finding(F.size(canonicals) == 0, *FOUND["canonical_absent"], canonical_count=no(0)),
+        finding(F.size(canonicals) > 1, *FOUND["conflicting_canonical_elements"], canonicals=canonicals),
+        finding((F.size(canonicals) == 1) & ~F.coalesce(F.get(canonicals, 0), no("")).rlike("(?i)^https?://[^/?#]"), *FOUND["canonical_target_invalid"], canonical=F.get(canonicals, 0)),
+        finding((status != 200) | noindex, *FOUND["indexable"], status_code=status, noindex=noindex),
+        finding(~F.coalesce("in_sitemap", no(False)) & (status == 200) & ~noindex, *FOUND["indexable_sitemap"], in_sitemap=no(False)),
+        finding(F.coalesce("robots_blocked", no(False)), *FOUND["blocked_robots_txt"], robots_blocked=no(True)),
+        finding(F.coalesce(F.col("exact_duplicate_count"), no(0)) > 0, *FOUND["exact_content_duplicates"], content_hash=p["content_hash"], duplicate_count=F.col("exact_duplicate_count")),
+        finding(no_alt > 0, *FOUND["images_missing_alt"], missing_alt=no_alt, image_count=F.size(images)),
+        finding(no_size > 0, *FOUND["images_omit_declared"], missing_dimensions=no_size, image_count=F.size(images)),
+        finding(viewport == "", *FOUND["responsive_viewport_declaration"], viewport=no("")),
+        finding((viewport != "") & ~viewport.contains("width=device-width"), *FOUND["viewport_declare_device"], viewport=p["viewport"]),
+        finding((p["amp_url"] != "") & urls.same_url(p["amp_url"], F.col("document_url")), *FOUND["amp_alternate_self"], amp_url=p["amp_url"]),
+        finding((p["mobile_alternate"] != "") & urls.same_url(p["mobile_alternate"], F.col("document_url")), *FOUND["mobile_alternate_self"], mobile_alternate=p["mobile_alternate"]),
+        finding(depth > DEEP, *FOUND["deeper_configured_threshold"], depth=depth, threshold=no(DEEP)),
+        finding((depth > 0) & (inlinks == 0), *FOUND["recorded_internal_inlinks"], inlinks=no(0)),
+        finding(nofollow > 0, *FOUND["contains_internal_nofollow"], nofollow_links=nofollow),
+        finding(https & (mixed > 0), *FOUND["https_references_http"], mixed_content_references=mixed),
+        finding(https & (F.coalesce(F.element_at("headers", "content-security-policy"), no("")) == ""), *FOUND["content_security_policy"], header=no("Content-Security-Policy")),
     ]
     found = _emit(pages.withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>"))), keys, checks, [per_language, syntax, structure, context])
     return found.withColumn("classification", classification())
@@ -117,13 +161,13 @@ def resource_findings(resources: DataFrame, keys: list[str]) -> DataFrame:
     pdf = (kind == "application/pdf") | body.startswith("%PDF-")
     image = kind.startswith("image/")
     checks = [
-        finding((status < 200) | (status >= 400), "AUD-01", "error", "Resource response is not successful", status_code=status, content_type=kind),
-        finding(image & (size > LARGE_IMAGE), "AUD-16", "warning", "Image resource exceeds the review-size threshold", decoded_bytes=size, threshold_bytes=F.lit(LARGE_IMAGE), content_type=kind),
-        finding(kind.isin("image/bmp", "image/tiff"), "AUD-16", "warning", "Image uses a legacy web delivery format", content_type=kind),
-        finding(pdf & ~body.contains("/Title"), "AUD-17", "warning", "PDF title metadata was not observed", check=F.lit("info_title"), decoded_bytes=size),
-        finding(pdf & ~body.contains("/Lang"), "AUD-17", "warning", "PDF document language was not observed", check=F.lit("document_language")),
-        finding(pdf & ~body.contains("/Marked true") & ~body.contains("/Marked(true)"), "AUD-17", "warning", "Tagged PDF marker was not observed", check=F.lit("marked_content")),
-        finding(pdf & body.contains("/Encrypt"), "AUD-17", "info", "PDF encryption dictionary was observed", encrypted=F.lit(True)),
+        finding((status < 200) | (status >= 400), *FOUND["resource_response_successful"], status_code=status, content_type=kind),
+        finding(image & (size > LARGE_IMAGE), *FOUND["image_resource_exceeds"], decoded_bytes=size, threshold_bytes=F.lit(LARGE_IMAGE), content_type=kind),
+        finding(kind.isin("image/bmp", "image/tiff"), *FOUND["image_uses_legacy"], content_type=kind),
+        finding(pdf & ~body.contains("/Title"), *FOUND["pdf_title_metadata"], check=F.lit("info_title"), decoded_bytes=size),
+        finding(pdf & ~body.contains("/Lang"), *FOUND["pdf_document_language"], check=F.lit("document_language")),
+        finding(pdf & ~body.contains("/Marked true") & ~body.contains("/Marked(true)"), *FOUND["tagged_pdf_marker"], check=F.lit("marked_content")),
+        finding(pdf & body.contains("/Encrypt"), *FOUND["pdf_encryption_dictionary"], encrypted=F.lit(True)),
     ]
     return _emit(resources, keys, checks).withColumn("classification", classification())
 
