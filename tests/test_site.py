@@ -216,7 +216,7 @@ def test_streams(spark, tmp_path):
 def test_query_matches_sql(spark, sf, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("crawl_run", "page_record", "link_record", "discovery", "fetch_result", "fixture_case", "issue", "documents"):
+    for t in ("crawl_run", "page_record", "link_record", "discovery", "fetch_result", "fixture_case", "issue", "integration_observation", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     found = site.QUERIES[name](spark, sf)
     cols = ", ".join(f'"{c}"' for c in found.columns)
