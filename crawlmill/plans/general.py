@@ -162,4 +162,10 @@ ORACLES: dict[str, str] = {
            WHEN a.t <> b.t OR a.h <> b.h OR a.s <> b.s THEN 'changed' END AS change_kind
       FROM p a FULL JOIN p b ON a.project_id = b.project_id AND a.url = b.url AND b.n = a.n + 1)
   SELECT r.crawl_id, c.url, c.change_kind FROM c JOIN runs r ON r.project_id = c.project_id AND r.n = c.n WHERE c.n > 1 AND c.change_kind IS NOT NULL""",
+    "p7_found": """
+  WITH v AS (SELECT DISTINCT 'structured_data' AS record_kind, CAST(structured_data_id AS VARCHAR) AS record_key, evidence_json AS j FROM structured_data
+      UNION SELECT 'issue', CAST(issue_id AS VARCHAR), evidence_json FROM issue UNION SELECT 'observation', observation_id, result FROM integration_observation),
+  o AS (SELECT record_kind, record_key, CASE WHEN json_type(j::JSON) = 'VARCHAR' THEN j::JSON->>'$' ELSE j END AS j FROM v WHERE json_valid(j))
+  SELECT DISTINCT record_kind, record_key, replace(t.fullkey, '"', '') AS object_path
+  FROM o, json_tree(CASE WHEN json_valid(o.j) THEN o.j::JSON END) t WHERE t.type = 'OBJECT' AND t.fullkey <> '$'""",
 }

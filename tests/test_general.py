@@ -138,7 +138,7 @@ def test_found_queries_match_sql(spark, sf, name):
         assert got
         return
     con = duckdb.connect()
-    for t in ("discovery", "fetch_result", "link_record", "page_record", "crawl_run"):
+    for t in ("discovery", "fetch_result", "link_record", "page_record", "crawl_run", "structured_data", "issue", "integration_observation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     cols = catalog.QUERIES[name](spark, sf).columns
     assert got == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({catalog.ORACLES[name]})").fetchall())
