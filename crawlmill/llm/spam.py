@@ -3,8 +3,8 @@
 Lines are cut into pieces at separators and sentence ends; a piece is reduced to a shape: a class of its number
 of words, its capitals, the separator behind it, and whether it is a link or a tag. The shapes of a page are
 grouped; a page is flagged when more than half of its words stand in shapes that no sentence has and few such
-shapes hold nearly all of these words. Sentence-like pieces that use the same few words again and again count as
-keyword repetition.
+shapes hold nearly all of these words. A sentence that makes do, together with the neighbours most like it, with
+the same few words again and again counts as keyword repetition, whatever else the page holds.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,8 @@ from crawlmill.sources.tables import spread
 
 SHORT_PIECE, LONG_RUN = 5, 45
 FEW_SHAPES, LEAST_WORDS, LEAST_PIECES = 6, 12, 4
-TOP_WORDS, TOP_SHARE, TOP_LEAST = 6, 0.57, 20
+TOP_WORDS, TOP_SHARE, TOP_LEAST = 6, 0.55, 20
+REACH, ALIKE, GROUP_DISTINCT, AGAIN = 6, 3, 0.5, 0.6
 RUN_LEAST, RUN_DISTINCT, LONG_DISTINCT = 12, 0.8, 0.72
 SENTENCE_LEAST, SENTENCE_PIECES = 8, 4
 
@@ -59,6 +61,36 @@ def _odd(mark: str) -> bool:
     return mark[3] != "-" or mark[0] in "135" or mark[0] == "x"
 
 
+def _repeated(said: list[list[str]], enough: float) -> tuple[int, int]:
+    """Words in sentences of keyword repetition, and the number of these sentences.
+
+    Each sentence is judged with the ``ALIKE`` neighbours that share most words with it, so real sentences before,
+    behind or between do not count. Where fewer than ``enough`` words can come together nothing is looked at.
+    """
+    every = " ".join(map(" ".join, said)).lower().split(" ")
+    often = {w for w, n in Counter(every).items() if n > 1}
+    ends = list(accumulate(map(len, said)))
+    said = [every[b - len(x) : b] for x, b in zip(said, ends)]
+    maybe = [i for i, x in enumerate(said) if sum(map(often.__contains__, x)) >= AGAIN * len(x)]
+    if sum(len(said[i]) for i in maybe) < enough:
+        return 0, 0
+    sets = [frozenset(x) for x in said]
+    words = found = 0
+    for i in maybe:
+        near = [j for j in range(max(0, i - REACH), min(len(said), i + REACH + 1)) if j != i]
+        near.sort(key=lambda j: -len(sets[i] & sets[j]) / len(sets[j]))
+        group = Counter(said[i])
+        for j in near[:ALIKE]:
+            group.update(said[j])
+        size = group.total()
+        if size < TOP_LEAST or len(group) > GROUP_DISTINCT * size or sum(n for _, n in group.most_common(TOP_WORDS)) < TOP_SHARE * size:
+            continue
+        if sum(group[w] > 1 for w in said[i]) >= AGAIN * len(said[i]):
+            words += len(said[i])
+            found += 1
+    return words, found
+
+
 def judge(text: str | None) -> tuple[float, int, int, str]:
     """Share of words outside sentences, number of words, of odd pieces, and the page's largest odd shapes.
 
@@ -68,7 +100,7 @@ def judge(text: str | None) -> tuple[float, int, int, str]:
         return 0.0, 0, 0, ""
     total, odd_words, odd_pieces = 0, 0, 0
     shapes: Counter = Counter()
-    kept: list[str] = []
+    kept: list[list[str]] = []  # words of what is like sentences, one list each
     for line in text.split("\n"):
         links = LINK.findall(line) if MAYBE_LINK.search(line) else ()
         if links:
@@ -89,11 +121,12 @@ def judge(text: str | None) -> tuple[float, int, int, str]:
             # The pieces of one sentence: a few clauses of a whole one are no list.
             size = sum(len(w) for _, _, w in held)
             total += size
+            kept.append([])
             whole = end == "." and SENTENCE_LEAST <= size <= LONG_RUN and len(held) <= SENTENCE_PIECES and not links
             for part, mark_end, said in held:
                 k = len(said)
                 if whole and not TAG.match(part):
-                    kept += said
+                    kept[-1] += said
                     continue
                 if k > SHORT_PIECE and not links:
                     limit = RUN_DISTINCT * (1 if part[0].islower() else 0.75) if k <= LONG_RUN else LONG_DISTINCT
@@ -102,7 +135,7 @@ def judge(text: str | None) -> tuple[float, int, int, str]:
                         odd_pieces += k // SHORT_PIECE
                         shapes["run"] += k
                     else:
-                        kept += said
+                        kept[-1] += said
                     continue
                 mark = shape(part, mark_end, k, bool(links))
                 if _odd(mark):
@@ -110,9 +143,10 @@ def judge(text: str | None) -> tuple[float, int, int, str]:
                     odd_pieces += 1
                     shapes[mark] += k
                 else:
-                    kept += said
+                    kept[-1] += said
             held = []
         if held:  # the line ends within a list
+            kept.append([])
             for part, mark_end, said in held:
                 k = len(said)
                 total += k
@@ -122,13 +156,12 @@ def judge(text: str | None) -> tuple[float, int, int, str]:
                     odd_pieces += 1
                     shapes[mark] += k
                 else:
-                    kept += said
-    if len(kept) >= TOP_LEAST:  # sentence-like pieces made of the same few words
-        counts = sorted(Counter(" ".join(kept).lower().split(" ")).values())
-        if sum(counts[-TOP_WORDS:]) >= TOP_SHARE * len(kept):
-            odd_words += len(kept)
-            odd_pieces += LEAST_PIECES
-            shapes["repeat"] += len(kept)
+                    kept[-1] += said
+    again, times = _repeated([x for x in kept if x], total / 2 - odd_words)
+    if times:
+        odd_words += again
+        odd_pieces += max(times, LEAST_PIECES)
+        shapes["repeat"] += again
     few = sum(c for _, c in shapes.most_common(FEW_SHAPES))
     share = odd_words / total if total else 0.0
     if few < 0.8 * odd_words or odd_words < LEAST_WORDS or odd_pieces < LEAST_PIECES:

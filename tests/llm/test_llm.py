@@ -207,6 +207,26 @@ def test_spam(text, want):
     assert (spam.judge(text)[0] > 0.5) == want
 
 
+STUFFED = (
+    "Window blind or buy window blind is window blind. Coffee grinder near me with window blind at coffee grinder. Buy coffee grinder for window blind in coffee grinder near me. "
+    "Window blind and coffee grinder by window blind near me. Coffee grinder or buy window blind is coffee grinder. Buy window blind with coffee grinder near me at window blind."
+)
+REAL = [
+    "Our nightly audit skipped the stale redirects on the test host because its table was full.", "Support closed the ticket without a note, and nobody asked why until Thursday.",
+    "Visitors who open a category page from their phone wait two seconds before any picture appears.", "Please attach raw responses when you report such cases to our team.",
+    "An orphaned page is linked from no other, even if some sitemap names it.", "The export keeps its order now, as was asked for in spring.",
+]
+
+
+@pytest.mark.parametrize(("n", "between", "want"), [(0, False, True), (2, False, True), (3, False, True), (3, True, True), (6, False, False), (6, True, False)])
+def test_spam_stuffed_sentences(n, between, want):
+    """Keyword repetition written as sentences counts by its own words, however much real text is around it."""
+    odd = STUFFED.split(". ")
+    text = " ".join(f"{odd[i]}. {(REAL[:n] + [''] * 6)[i]}" for i in range(6)) if between else f"{STUFFED}\n{' '.join(REAL[:n])}"
+    words = [len(spam.WORD.findall(x)) for x in (STUFFED, " ".join(REAL[:n]))]
+    assert (words[0] > words[1]) == want and (spam.judge(text)[0] > 0.5) == want
+
+
 def test_spam_share_decides(spark):
     line = "The crawler skipped most redirects of our second host because its table was full. "
     more = "Nobody at the desk had changed any settings before that release came out. Please attach raw responses when you report such a case to us. "
