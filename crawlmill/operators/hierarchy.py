@@ -43,12 +43,15 @@ def _labelled(nodes: DataFrame) -> tuple[DataFrame, int]:
     )
     state = checkpointed(state.select("*", F.when(F.col("next").isNull(), F.col("key")).alias("label")))
     total = state.count()
-    rounds = 0
+    rounds, before = 0, -1
     while True:
         active = state.filter("label is null")
         left = active.count()
-        if left <= SMALL or 2**rounds > left:  # a chain longer than the rows left runs in a circle
+        # A chain with an end has a node at each distance, so every round labels some of its nodes: when a round labels
+        # none, all that is left runs in circles. After as many steps as rows left each of them stands on its circle.
+        if left <= SMALL or (left == before and 2**rounds > left):
             break
+        before = left
         moved = _advance(active.drop("label", "cyclic"), state, ["next", "dist", "cyclic", "label"]).select(
             "key", F.col("t_next").alias("next"), (F.col("dist") + F.col("t_dist")).alias("dist"), F.col("t_cyclic").alias("cyclic"), F.col("t_label").alias("label")
         )

@@ -63,6 +63,18 @@ def test_long_chain(spark):
     assert found.filter("depth <> recorded").count() == 0
 
 
+def test_long_chains_by_doubling(spark, monkeypatch):
+    """No node of a long chain is taken for one of a circle, be it alone or next to a circle with a long tail."""
+    monkeypatch.setattr(H, "SMALL", 10)
+    chain = [(f"n{i:05}", f"n{i - 1:05}" if i else None, i) for i in range(300)]
+    circle = [(f"c{i:05}", f"c{(i + 1) % 50:05}", 0) for i in range(50)]
+    tail = [(f"t{i:05}", f"t{i - 1:05}" if i else "c00003", i + 1) for i in range(90)]
+    for rows in (chain, chain + circle + tail):
+        found = {r.key: (r.state, r.depth, r.root) for r in H.hierarchy(spark.createDataFrame(rows, SCHEMA), paths=False).collect()}
+        want = {"n": ("tree", "n00000"), "c": ("cycle", "c00000"), "t": ("below_cycle", "c00000")}
+        assert found == {k: (want[k[0]][0], depth, want[k[0]][1]) for k, _, depth in rows}
+
+
 def test_paths_in_parts_and_without(spark, monkeypatch):
     """Rows handed on in small parts keep their paths; without paths all else stays."""
     rows = spark.createDataFrame([(f"n{i:03}", f"n{i // 2:03}" if i > 1 else None, i) for i in range(1, 200)], SCHEMA)
