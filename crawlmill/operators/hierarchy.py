@@ -2,8 +2,8 @@
 
 Every node has at most one parent. Components are found by pointer doubling, whose number of rounds is the
 logarithm of the longest chain; each component is then moved to one place and walked depth first with node
-colouring. A component too large for one place (more than ``LARGE`` rows and more than a thousandth of all
-rows, so there are fewer than a thousand of them) is not moved: its results come from doubling alone.
+colouring. A component too large for one place (more than ``LARGE`` rows) is not moved: its results, which are the
+same, come from doubling alone.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from crawlmill.session import checkpointed
 
 LARGE = 200_000
 OUT = "key string, parent string, recorded long, root string, depth long, path array<string>, n_descendants long, state string, lost boolean, root_lost boolean"
-SMALL = 200_000
+OUT_PLAIN = "key string, parent string, recorded long, root string, depth long, state string, lost boolean, root_lost boolean"
+SMALL = 200_000  # chains one task finishes
 PATH_CHUNK = 2_000_000  # path steps held before rows are handed on
 
 
@@ -33,33 +34,36 @@ def _advance(active: DataFrame, state: DataFrame, payload: list[str]) -> DataFra
 def _labelled(nodes: DataFrame) -> tuple[DataFrame, int]:
     """Component of each node: ``key, parent, recorded, lost, label, cyclic`` and the number of nodes.
 
-    ``label`` is the root, or the smallest node of the circle a chain runs into; ``cyclic`` says which.
+    ``label`` is the root, or the smallest node of the circle a chain runs into; ``cyclic`` says which. After r rounds
+    ``next`` is 2^r steps ahead and ``low`` the smallest of the 2^r nodes before it. The jumps from a node of a circle
+    may meet only some of its nodes, but the stretches between them cover it, so their smallest ``low`` names it.
     """
-    state = nodes.select(
-        "key",
-        F.when(F.col("parent") != F.col("key"), F.col("parent")).alias("next"),
-        F.when(F.col("parent") != F.col("key"), 1).otherwise(0).cast("long").alias("dist"),
-        F.coalesce(F.col("parent") == F.col("key"), F.lit(False)).alias("cyclic"),
-    )
+    loop = F.coalesce(F.col("parent") == F.col("key"), F.lit(False))
+    state = nodes.select("key", F.when(~loop, F.col("parent")).alias("next"), loop.alias("cyclic"), F.col("key").alias("low"))
     state = checkpointed(state.select("*", F.when(F.col("next").isNull(), F.col("key")).alias("label")))
     total = state.count()
-    rounds, before = 0, -1
+    rounds, before, circles = 0, -1, False
     while True:
         active = state.filter("label is null")
         left = active.count()
         # A chain with an end has a node at each distance, so every round labels some of its nodes: when a round labels
         # none, all that is left runs in circles. After as many steps as rows left each of them stands on its circle.
-        if left <= SMALL or (left == before and 2**rounds > left):
+        circles = circles or left == before
+        if left <= SMALL or (circles and 2**rounds > left):
             break
         before = left
-        moved = _advance(active.drop("label", "cyclic"), state, ["next", "dist", "cyclic", "label"]).select(
-            "key", F.col("t_next").alias("next"), (F.col("dist") + F.col("t_dist")).alias("dist"), F.col("t_cyclic").alias("cyclic"), F.col("t_label").alias("label")
+        ahead = active if circles else state
+        moved = _advance(active.select("key", "next", "low"), ahead, ["next", "cyclic", "low", "label"]).select(
+            "key", F.col("t_next").alias("next"), F.col("t_cyclic").alias("cyclic"), F.least("low", "t_low").alias("low"), F.col("t_label").alias("label")
         )
-        done = state.filter("label is not null").select("key", "next", "dist", "cyclic", "label")
+        done = state.filter("label is not null").select("key", "next", "cyclic", "low", "label")
         state = checkpointed(done.unionByName(moved))
         rounds += 1
     if left:
-        rest = _finish(state, active) if left <= SMALL else _circles(nodes, active)
+        if left <= SMALL:
+            rest = _finish(state, active)
+        else:  # ``next`` stands on the circle, and its ``low`` has passed all of it
+            rest = _advance(active.select("key", "next"), active, ["low"]).select("key", F.col("t_low").alias("label"), F.lit(True).alias("cyclic"))
         state = state.filter("label is not null").select("key", "label", "cyclic").unionByName(rest.select("key", "label", "cyclic"))
     return nodes.join(state.select("key", "label", "cyclic"), "key"), total
 
@@ -67,11 +71,12 @@ def _labelled(nodes: DataFrame) -> tuple[DataFrame, int]:
 def _finish(state: DataFrame, active: DataFrame) -> DataFrame:
     """Labels of the last chains, at most ``SMALL`` rows, in one task: their ends are known or a circle."""
     known = state.filter("label is not null").join(active.select(F.col("next").alias("key")).distinct(), "key", "left_semi")
-    both = active.select("key", "next", "label", "cyclic").unionByName(known.select("key", "next", "label", "cyclic"))
+    both = active.select("key", "next", "low", "label", "cyclic").unionByName(known.select("key", "next", "low", "label", "cyclic"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         label = {k: (v, bool(c)) for k, v, c in zip(rows["key"], rows["label"], rows["cyclic"]) if v is not None}
         ahead = {k: n for k, n, v in zip(rows["key"], rows["next"], rows["label"]) if v is None}
+        low = dict(zip(rows["key"], rows["low"]))
         for start in ahead:
             trail, at = [], start
             place: dict[str, int] = {}
@@ -82,7 +87,7 @@ def _finish(state: DataFrame, active: DataFrame) -> DataFrame:
             if at in label:
                 end = label[at]
             else:
-                end = (min(trail[place[at] :]), True)
+                end = (min(low[v] for v in trail[place[at] :]), True)
             for v in trail:
                 label[v] = end
         keys = list(ahead)
@@ -91,19 +96,6 @@ def _finish(state: DataFrame, active: DataFrame) -> DataFrame:
     return both.withColumn("all_rows", F.lit(1)).groupBy("all_rows").applyInPandas(run, "key string, label string, cyclic boolean")
 
 
-def _circles(nodes: DataFrame, active: DataFrame) -> DataFrame:
-    """Labels for chains that run in circles: after enough steps each stands on its circle."""
-    on_circle = active.select(F.col("next").alias("key")).distinct()
-    ring = checkpointed(nodes.join(on_circle, "key").select("key", F.col("parent").alias("next"), F.col("key").alias("low")))
-    size, rounds = ring.count(), 0
-    while 2**rounds < 2 * size:
-        ahead = ring.select(F.col("key").alias("next"), F.col("next").alias("after"), F.col("low").alias("ahead"))
-        ring = checkpointed(ring.join(ahead, "next").select("key", F.col("after").alias("next"), F.least("low", "ahead").alias("low")))
-        rounds += 1
-    found = _advance(active.select("key", "next"), ring.select("key", F.col("low").alias("label")), ["label"])
-    return found.select("key", F.lit(True).alias("cyclic"), F.col("t_label").alias("label"))
-
-
 def _walk(rows: pd.DataFrame, paths: bool) -> Iterator[pd.DataFrame]:
     """Depth-first walk of whole components: colours white, grey, black; back edges close circles.
 
@@ -160,7 +152,7 @@ def _walk(rows: pd.DataFrame, paths: bool) -> Iterator[pd.DataFrame]:
     while first < len(keys):
         last, steps = first, 0
         while last < len(keys) and steps <= PATH_CHUNK:
-            steps += depth[last] + 1
+            steps += depth[last] + 1 if paths else 1
             last += 1
         path: list[list[str] | None] = [None] * (last - first)
         for i in range(first, last) if paths else ():
@@ -171,9 +163,8 @@ def _walk(rows: pd.DataFrame, paths: bool) -> Iterator[pd.DataFrame]:
             trail.reverse()
             path[i - first] = trail
         cut = slice(first, last)
-        yield pd.DataFrame(
-            {"key": keys[cut], "parent": parents[cut], "recorded": recorded[cut].array, "root": root[cut], "depth": depth[cut], "path": path, "n_descendants": below[cut], "state": state[cut], "lost": lost[cut], "root_lost": gone[cut]}
-        )
+        more = {"path": path, "n_descendants": below[cut]} if paths else {}
+        yield pd.DataFrame({"key": keys[cut], "parent": parents[cut], "recorded": recorded[cut].array, "root": root[cut], "depth": depth[cut], **more, "state": state[cut], "lost": lost[cut], "root_lost": gone[cut]})
         first = last
 
 
@@ -202,24 +193,24 @@ def _walk_batches(batches: Iterator[pd.DataFrame], paths: bool = True) -> Iterat
 
 def _large(rows: DataFrame, paths: bool) -> DataFrame:
     """Results of components that are never moved to one place: steps by doubling, counts by aggregation."""
-    base = rows.withColumnRenamed("on_circle", "on_head")
-    inner = F.when((F.col("parent") != F.col("key")) & ~F.col("on_head"), F.col("parent"))
-    state = base.select("key", inner.alias("next"), F.when(inner.isNotNull(), 1).otherwise(0).cast("long").alias("depth"))
-    state = checkpointed(state.withColumn("path", F.array("key") if paths else F.lit(None).cast("array<string>")))
+    inner = F.when((F.col("parent") != F.col("key")) & ~F.col("on_circle"), F.col("parent"))
+    state = rows.select("key", inner.alias("next"), F.when(inner.isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.col("lost").alias("root_lost"))
+    state = checkpointed(state.withColumn("path", F.array("key")) if paths else state)
+    carried = ["next", "depth", "root_lost", *(["path"] if paths else [])]
     while not state.filter("next is not null").isEmpty():
-        moved = _advance(state.filter("next is not null"), state, ["next", "depth", "path"])
-        moved = moved.select("key", F.col("t_next").alias("next"), (F.col("depth") + F.col("t_depth")).alias("depth"), F.concat("t_path", "path").alias("path"))
+        moved = _advance(state.filter("next is not null").drop("root_lost"), state, carried)
+        further = [F.concat("t_path", "path").alias("path")] if paths else []
+        moved = moved.select("key", F.col("t_next").alias("next"), (F.col("depth") + F.col("t_depth")).alias("depth"), F.col("t_root_lost").alias("root_lost"), *further)
         state = checkpointed(state.filter("next is null").unionByName(moved))
-    heads = rows.filter("key = label").select("label", F.col("lost").alias("root_lost"))  # one row per large component
-    out = base.join(state.select("key", "depth", "path"), "key").join(F.broadcast(heads), "label")
-    below = F.lit(None).cast("long")
-    if paths:
-        counts = state.select(F.explode(F.slice("path", 1, F.size("path") - 1)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        out, below = out.join(counts, "key", "left"), F.coalesce("n", F.lit(0))
-    return out.select(
-        "key", "parent", "recorded", F.col("label").alias("root"), "depth", "path", below.alias("n_descendants"),
-        F.when(F.col("on_head"), "cycle").when(F.col("cyclic"), "below_cycle").otherwise("tree").alias("state"), "lost", "root_lost",
-    )
+    out = rows.join(state.drop("next"), "key")
+    kind = F.when(F.col("on_circle"), "cycle").when(F.col("cyclic"), "below_cycle").otherwise("tree")
+    if not paths:
+        return out.select("key", "parent", "recorded", F.col("label").alias("root"), "depth", kind.alias("state"), "lost", "root_lost")
+    counts = state.select(F.explode(F.slice("path", 1, F.size("path") - 1)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    root = F.when(F.col("cyclic"), F.col("label")).otherwise(F.col("path")[0])
+    return out.join(counts, "key", "left").select(
+        "key", "parent", "recorded", root.alias("root"), "depth", "path", F.coalesce("n", F.lit(0)).alias("n_descendants"), kind.alias("state"), "lost", "root_lost"
+    )
 
 
 def hierarchy(nodes: DataFrame, large: int = LARGE, paths: bool = True) -> DataFrame:
@@ -230,8 +221,8 @@ def hierarchy(nodes: DataFrame, large: int = LARGE, paths: bool = True) -> DataF
     included) or ``below_cycle``. On a circle the root is its smallest node, paths and depths start at the
     circle. A parent that has no row is kept as a node with ``lost`` true, so a chain that ends there has a
     ``lost`` root. Of rows with the same key the smallest counts; rows with a null key are dropped. All
-    descendants of a node are the rows whose path holds it (``descendants``). Without ``paths`` the path is null,
-    and so is the number of descendants in components over ``large``. An empty table gives no rows.
+    descendants of a node are the rows whose path holds it (``descendants``). Without ``paths`` there are no columns
+    ``path`` and ``n_descendants``. An empty table gives no rows. The result is the same for every ``large``.
     """
     own = nodes.filter("key is not null").groupBy("key").agg(F.min(F.struct("parent", "recorded")).alias("r"))
     own = own.select("key", "r.parent", "r.recorded", F.lit(False).alias("lost"))
@@ -240,16 +231,16 @@ def hierarchy(nodes: DataFrame, large: int = LARGE, paths: bool = True) -> DataF
     every = checkpointed(own.unionByName(gone))
     labelled, total = _labelled(every)
     labelled = checkpointed(labelled)
-    limit = max(large, total // 1000)
-    big = labelled.groupBy("label").count().filter(F.col("count") > limit).select("label", F.lit(True).alias("big"))
-    some = not big.isEmpty()
-    rest = labelled.join(F.broadcast(big), "label", "left_anti") if some else labelled  # fewer than 1000 labels: see limit
+    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    some = not sizes.filter(F.col("members") > large).isEmpty()
+    rest = labelled
+    if some:  # the labels of large components spread over the tasks
+        sized = checkpointed(join_classes(labelled, sizes, ["label"], "members", ["members"], F.col("key")))
+        rest, giants = sized.filter(F.col("members") <= large), sized.filter(F.col("members") > large).drop("members")
     parts = max(1, min(4096, total // 20_000 + rest.sparkSession.sparkContext.defaultParallelism))
-    walked = rest.select("key", "parent", "recorded", "label", "lost").repartition(parts, "label").sortWithinPartitions("label").mapInPandas(lambda batches: _walk_batches(batches, paths), OUT)
-    if not some:
-        return walked
-    giants = checkpointed(labelled.join(F.broadcast(big), "label", "left_semi"))
-    return walked.unionByName(_large(_mark_circles(giants), paths))
+    walked = rest.select("key", "parent", "recorded", "label", "lost").repartition(parts, "label").sortWithinPartitions("label")
+    walked = walked.mapInPandas(lambda batches: _walk_batches(batches, paths), OUT if paths else OUT_PLAIN)
+    return walked.unionByName(_large(_mark_circles(giants), paths)) if some else walked
 
 
 def _mark_circles(rows: DataFrame) -> DataFrame:
@@ -264,5 +255,9 @@ def _mark_circles(rows: DataFrame) -> DataFrame:
 
 
 def descendants(found: DataFrame) -> DataFrame:
-    """Pairs ``ancestor, descendant`` of all trees, one row each; nothing is gathered per ancestor."""
+    """Pairs ``ancestor, descendant`` of all trees, one row each; nothing is gathered per ancestor.
+
+    A node on a circle has those below it that are reached without passing another node of the circle; the
+    circle itself is named by ``root``.
+    """
     return found.filter("depth > 0").select(F.explode(F.slice("path", 1, F.size("path") - 1)).alias("ancestor"), F.col("key").alias("descendant"))

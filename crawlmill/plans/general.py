@@ -52,6 +52,13 @@ def p3_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p3_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """Each node with each of its descendants, and how many steps below it they are."""
+    h = hierarchies(spark, sf).filter((_tree_kind() == "redirect") | ~F.col("lost"))
+    pairs = h.select(_tree_kind().alias("tree_kind"), F.expr("substring(key, 3)").alias("descendant_key"), F.posexplode("path").alias("at", "above"), "depth")
+    return pairs.filter("at < depth").select("tree_kind", F.expr("substring(above, 3)").alias("node_key"), "descendant_key", (F.col("depth") - F.col("at")).alias("steps"))
+
+
 URL_SHARE = 0.02
 
 
@@ -110,6 +117,7 @@ def p7_parts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_hierarchy": p3_hierarchy,
+    "p3_descendants": p3_descendants,
     "p5_found": p5_found,
     "p5_url_figures": p5_url_figures,
     "p6_found": p6_found,

@@ -85,4 +85,16 @@ def test_paths_in_parts_and_without(spark, monkeypatch):
     assert len(parts) > 10 and {k: list(p) for q in parts for k, p in zip(q["key"], q["path"])} == {k: list(r.path) for k, r in want.items()}
     for large in (200_000, 5):
         bare = {r.key: r for r in H.hierarchy(rows, large, paths=False).collect()}
-        assert all(bare[k].path is None and (bare[k].depth, bare[k].root, bare[k].state) == (r.depth, r.root, r.state) for k, r in want.items())
+        assert all("path" not in bare[k] and (bare[k].depth, bare[k].root, bare[k].state) == (r.depth, r.root, r.state) for k, r in want.items())
+
+
+@pytest.mark.parametrize(("small", "large"), [(0, 200_000), (60, 3), (100, 200_000)])
+def test_whole_circles(spark, monkeypatch, small, large):
+    """Circles of any length, with tails, keep one label whenever the doubling ends."""
+    monkeypatch.setattr(H, "SMALL", small)
+    rows = [(f"chain{i:03}", f"chain{i - 1:03}" if i else None) for i in range(40)]
+    for n in (1, 2, 3, 4, 5, 6, 8, 12):
+        rows += [(f"{'zyxw'[i % 4]}{n:02}-{i:02}", f"{'zyxw'[(i + 1) % n % 4]}{n:02}-{(i + 1) % n:02}") for i in range(n)]
+        rows += [(f"a{n:02}-{i:02}", f"a{n:02}-{i - 1:02}" if i else f"z{n:02}-00") for i in range(7)]
+    found = {r.key: r for r in H.hierarchy(spark.createDataFrame([(k, p, 0) for k, p in rows], SCHEMA), large, paths=False).collect()}
+    assert {k: (r.state, r.depth, r.root) for k, r in found.items()} == brute(rows)
