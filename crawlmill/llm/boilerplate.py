@@ -1,16 +1,20 @@
 """Problem 4: the main body of a page without menus, notices, side columns and footers.
 
-A page is cut into flat text blocks. A block is described by its own words and link density, those of its two
-neighbours, and those of the region (nearest sectioning container) it stands in. A decision tree, grown on a
-small labelled table, says which blocks belong to the article. The labels come from pages whose containers carry
-telling names; the tree sees no names, so it also works where names are meaningless.
+A page is cut into flat text blocks. A block is described by its own words and link density, those of its
+neighbours, where it stands, and how its words are shared between articles and the rest of the labelled pages. A
+decision tree, grown on a small labelled table, says which blocks belong to the article. The labels come from
+pages whose containers carry telling names, listed in ``container_names.csv``. Neither names nor containers are
+among the figures, which therefore are the same on a page that has none.
 """
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import html
+import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +26,9 @@ from crawlmill.sources.tables import spread
 
 MAX_LABELLED_PAGES = 1500  # bound of the table the tree is grown on
 CANDIDATES = 8  # pages looked at for each labelled one
+LEAST_PAGES, MOST_ODDS = 3, 4.0  # a word's odds: labelled pages it must be on, and their bound
+NAMES_FILE = os.path.join(os.path.dirname(os.path.abspath(__file__)), "container_names.csv")
+PAGES_AT_ONCE = 500
 
 # Element classes of HTML.
 BLOCK = frozenset(
@@ -37,11 +44,6 @@ SIBLINGS = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
 }
-ARTICLE_NAMES = frozenset("content entry post-body text maincol article-body post article main-content".split())
-OTHER_NAMES = frozenset(
-    "nav footer legal right menu trail sidebar related cta bottom newsletter notice widget topbar share cookie-banner path"
-    " navigation consent breadcrumb promo extra ft signup gdpr ad ads banner comments".split()
-)
 # A comment, an element whose content is no text, a tag, or a declaration.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|head|title|template|iframe|textarea|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -56,12 +58,10 @@ SENTENCE_END = (".", "?", "!", "…", ".”", ".«", "。", ".)", ":", ".»", "
 class Region:
     """A sectioning container: its tag, the text of its start tag and the container around it."""
 
-    __slots__ = ("blocks", "ended", "head", "links", "rest", "tag", "up", "words")
+    __slots__ = ("rest", "tag", "up")
 
     def __init__(self, tag: str, rest: str, up: Region | None) -> None:
         self.tag, self.rest, self.up = tag, rest, up
-        self.words = self.links = self.blocks = self.ended = 0
-        self.head = False
 
 
 def blocks(body: str | None) -> list[tuple[str, str, int, int, Region, bool]]:
@@ -159,50 +159,73 @@ def blocks(body: str | None) -> list[tuple[str, str, int, int, Region, bool]]:
     return out
 
 
-FEATURES = 24
+DIGITS = re.compile(r"\d+")
 
 
-def features(page: list[tuple[str, str, int, int, Region, bool]]) -> list[list[float]]:
-    """One row of figures per block."""
-    total = 0
-    for text, tag, n, linked, region, _ in page:
-        region.words += n
-        region.links += linked
-        region.blocks += 1
-        region.ended += text.endswith(SENTENCE_END)
-        region.head |= tag == "h1"
-        total += n
-    ranks = {id(r): k for k, r in enumerate(sorted({id(b[4]): b[4] for b in page}.values(), key=lambda r: r.links - r.words))}
-    has_h1 = float(any(r[4].head for r in page))
-    out = []
-    last = len(page) - 1
-    for i, (text, tag, n, linked, r, quoted) in enumerate(page):
-        before, after = page[i - 1] if i else None, page[i + 1] if i < last else None
-        up = r.up
-        out.append(
+def tokens(text: str) -> list[str]:
+    """Words of a block, numbers alike."""
+    return DIGITS.sub("0", text.lower()).split()
+
+
+def word_odds(pages: list[list[tuple]], labels: list[list[bool]]) -> dict[str, float]:
+    """Log odds of each word to stand in an article's block rather than in another one."""
+    counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    on = Counter()
+    for page, said in zip(pages, labels):
+        seen = set()
+        for block, one in zip(page, said):
+            words = set(tokens(block[0]))
+            counts[bool(one)].update(words)
+            seen |= words
+        on.update(seen)
+    whole = [sum(counts[k].values()) + 1 for k in (True, False)]
+    return {
+        w: float(np.clip(np.log((counts[True][w] + 0.5) / whole[0] * whole[1] / (counts[False][w] + 0.5)), -MOST_ODDS, MOST_ODDS))
+        for w, n in on.items()
+        if n >= LEAST_PAGES
+    }
+
+
+def features(page: list[tuple[str, str, int, int, Region, bool]], odds: dict[str, float]) -> list[list[float]]:
+    """One row of figures per block: its own, those of two neighbours on each side, and its place."""
+    own = []
+    for text, tag, n, linked, _, quoted in page:
+        known = [odds.get(w, 0.0) for w in tokens(text)]
+        own.append(
             [
                 n, linked / n, tag[0] == "h" and len(tag) == 2, tag == "p", tag == "li", tag in ("td", "th"), tag == "pre", tag in REGION, quoted or tag == "blockquote",
-                text.endswith(SENTENCE_END), before[2] if before else 0, before[3] / before[2] if before else 0, after[2] if after else 0,
-                after[3] / after[2] if after else 0, r.words, r.links / max(1, r.words), r.blocks, r.words / total, r.head, r.ended / max(1, r.blocks),
-                ranks[id(r)], up.words / total if up else 0, i / (last + 1), has_h1 - r.head,
+                text.endswith(SENTENCE_END), sum(known) / n,
             ]
         )
+    last = len(page) - 1
+    nothing = [0.0] * len(own[0]) if own else []
+    top = next((i for i, block in enumerate(page) if block[1] == "h1"), -1)
+    out = []
+    for i, row in enumerate(own):
+        near = [own[j] if 0 <= j <= last else nothing for j in (i - 2, i - 1, i + 1, i + 2)]
+        place = [i, last - i, i / (last + 1), i - top if top >= 0 else -1]
+        out.append(row + [x for other in near for x in (other[0], other[1], other[9], other[10])] + place)
     return out
 
 
-def label(page: list[tuple[str, str, int, int, Region, bool]]) -> list[bool] | None:
-    """Labels from container names, or None where a page's names don't tell."""
+def container_names(path: str = NAMES_FILE) -> dict[str, bool]:
+    """Names of containers (class, id, role or tag) and whether an article stands in them."""
+    with open(path, encoding="utf-8", newline="") as f:
+        return {row["name"]: row["article"] == "1" for row in csv.DictReader(f)}
+
+
+def label(page: list[tuple[str, str, int, int, Region, bool]], names: dict[str, bool]) -> list[bool] | None:
+    """Labels from container names, or None where a page's names don't tell. The nearest telling container counts."""
     known, out, some = {}, [], False
     for _, tag, _, _, region, _ in page:
         r, said = region, known.get(id(region))
         if said is None:
             while said is None and r is not None:
-                names = {x for group in NAME.findall(r.rest) for x in group.lower().split()}
-                if r.tag in ("aside", "nav", "header", "footer") or names & OTHER_NAMES or "dialog" in names:
-                    said = False
-                elif r.tag in ("article", "main") or names & ARTICLE_NAMES:
-                    said = True
-                elif r.tag == "body" or not names:
+                given = {x for group in NAME.findall(r.rest) for x in group.lower().split()}
+                told = {names[x] for x in (r.tag, *given) if x in names}
+                if told:
+                    said = told == {True}
+                elif r.tag == "body" or not given:
                     said = False if r.up is None else None
                 else:
                     return None  # a name that tells nothing
@@ -262,11 +285,24 @@ def predict(tree: list[tuple[int, float, int, int, float]], x: np.ndarray) -> np
         at = np.where(inner, np.where(goes_left, a[at], b[at]), at)
 
 
-NAMED = r"""(?i)<(article|main)\b|(class|id)="(content|entry|post-body|text|maincol|article-body|post|main-content)["]"""
+Tree = list[tuple[int, float, int, int, float]]
+
+
+def fit(pages: list[list[tuple]], labels: list[list[bool]]) -> tuple[Tree, dict[str, float]]:
+    """Tree and word odds. The tree is grown on odds that each page had no part in: those of the other half."""
+    if not pages:
+        return [(-1, 0.0, -1, -1, 0.0)], {}
+    rows, said = [], []
+    for half in (0, 1):
+        odds = word_odds(pages[1 - half :: 2], labels[1 - half :: 2])
+        for page, own in zip(pages[half::2], labels[half::2]):
+            rows += features(page, odds)
+            said += own
+    return grow(np.array(rows, float), np.array(said, float)), word_odds(pages, labels)
 
 
-def train(pages: DataFrame) -> list[tuple[int, float, int, int, float]]:
-    """Grow the tree on at most ``MAX_LABELLED_PAGES`` pages whose container names tell, the first by hash of the key.
+def train(pages: DataFrame, names: dict[str, bool]) -> tuple[Tree, dict[str, float]]:
+    """Fit on at most ``MAX_LABELLED_PAGES`` pages whose container names tell, the first by hash of the key.
 
     Only pages below a hash bound that leaves about ``CANDIDATES`` times that many are looked at for labels, so
     what is brought together for the choice doesn't grow with the pages.
@@ -274,66 +310,53 @@ def train(pages: DataFrame) -> list[tuple[int, float, int, int, float]]:
     order = F.xxhash64("record_kind", "record_key")
     share = min(1.0, CANDIDATES * MAX_LABELLED_PAGES / max(1, pages.count()))
     near = pages.filter(order <= F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else pages
-    named = near.filter(F.col("body").rlike(NAMED)).select("body").orderBy(order).limit(MAX_LABELLED_PAGES)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            rows = []
-            for body in part["body"]:
-                page = blocks(body)
-                said = label(page)
-                if said:
-                    rows += [[float(v) for v in row] + [float(one)] for row, one in zip(features(page), said)]
-            yield pd.DataFrame({"row": rows})
-
-    rows = named.repartition(8).mapInPandas(run, "row array<double>").toPandas()["row"]
-    if not len(rows):
-        return [(-1, 0.0, -1, -1, 0.0)]
-    table = np.array(sorted(map(tuple, rows)))  # in one order, whatever the tasks' order
-    return grow(table[:, :-1], table[:, -1])
-
-
-def article_blocks(pages: DataFrame, text: bool = False) -> DataFrame:
+    articles = "|".join(sorted(re.escape(n) for n, one in names.items() if one))
+    named = near.filter(F.col("body").rlike(rf"""(?i)<({articles})\b|(class|id|role)\s*=\s*["']?({articles})\b"""))
+    listed = named.select("record_kind", "record_key", "body").orderBy(order, "record_kind", "record_key", "body").limit(MAX_LABELLED_PAGES).toPandas()
+    cut, labels = [], []
+    for body in listed["body"]:
+        page = blocks(body)
+        said = label(page, names)
+        if said:
+            cut.append(page)
+            labels.append(said)
+    return fit(cut, labels)
+
+
+def article_blocks(pages: DataFrame, text: bool = False, names_file: str = NAMES_FILE) -> DataFrame:
     """Blocks of the article: ``record_kind, record_key, position, block_md5`` (and ``block``).
 
     ``pages`` has ``record_kind, record_key, body``. Bodies that are null, empty or no HTML have no rows, pages
-    without labelled ones anywhere neither. Blocks inside ``nav``, ``header``, ``footer`` and ``aside`` are checked
-    out after the tree. Repeated rows give repeated blocks.
+    without labelled ones anywhere neither. Repeated rows give repeated blocks. ``names_file`` is the table of
+    telling container names.
     """
-    tree = train(pages)
+    tree, odds = train(pages, container_names(names_file))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            found, at, rows = [], [], []
-            for i, body in enumerate(part["body"]):
-                page = blocks(body)
-                if page:
-                    found += page
-                    at += [(i, k) for k in range(len(page))]
-                    rows += features(page)
-            if not rows:
-                continue
-            keep = np.flatnonzero(predict(tree, np.array(rows, float)) > 0.5)
-            keep = [k for k in keep if not _outside(found[k][4]) and found[k][1] not in REGION]
-            if not keep:
-                continue
-            of = [at[k][0] for k in keep]
-            said = [found[k][0] for k in keep]
-            out = {
-                "record_kind": part["record_kind"].to_numpy()[of],
-                "record_key": part["record_key"].to_numpy()[of],
-                "position": [at[k][1] for k in keep],
-                "block_md5": [hashlib.md5(s.encode("utf-8", "replace")).hexdigest() for s in said],
-            }
-            yield pd.DataFrame(out | ({"block": said} if text else {}))
+        for whole in batches:
+            for lo in range(0, len(whole), PAGES_AT_ONCE):
+                part = whole.iloc[lo : lo + PAGES_AT_ONCE]
+                found, at, rows = [], [], []
+                for i, body in enumerate(part["body"]):
+                    page = blocks(body)
+                    if page:
+                        found += page
+                        at += [(i, k) for k in range(len(page))]
+                        rows += features(page, odds)
+                if not rows:
+                    continue
+                keep = np.flatnonzero(predict(tree, np.array(rows, float)) > 0.5)
+                if not len(keep):
+                    continue
+                of = [at[k][0] for k in keep]
+                said = [found[k][0] for k in keep]
+                out = {
+                    "record_kind": part["record_kind"].to_numpy()[of],
+                    "record_key": part["record_key"].to_numpy()[of],
+                    "position": [at[k][1] for k in keep],
+                    "block_md5": [hashlib.md5(s.encode("utf-8", "replace")).hexdigest() for s in said],
+                }
+                yield pd.DataFrame(out | ({"block": said} if text else {}))
 
     html_pages = pages.filter(F.col("body").rlike(r"^\s*﻿?\s*<[a-zA-Z!]"))
     return spread(html_pages).mapInPandas(run, "record_kind string, record_key string, position long, block_md5 string" + ", block string" * text)
-
-
-def _outside(region: Region | None) -> bool:
-    while region is not None:
-        if region.tag in ("nav", "header", "footer", "aside"):
-            return True
-        region = region.up
-    return False
