@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from crawlmill.sources.tables import spread
 
 MAX_LABELLED_PAGES = 1500  # bound of the table the tree is grown on
-CANDIDATES = 8  # pages looked at for each labelled one
+CANDIDATES = 4  # pages looked at for each labelled one
 LEAST_PAGES, MOST_ODDS = 3, 4.0  # a word's odds: labelled pages it must be on, and their bound
 NAMES_FILE = os.path.join(os.path.dirname(os.path.abspath(__file__)), "container_names.csv")
 PAGES_AT_ONCE = 500

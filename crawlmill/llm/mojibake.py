@@ -3,7 +3,8 @@
 A garbled text is repaired by a best-first search. A state is a text; an edge undoes one wrong step: it
 encodes the suspicious runs in one code page and decodes them in another, or it unescapes character
 references. A heap holds reached states by plausibility cost plus the cost of the way there; visited states
-are kept by hash, so no text is expanded twice. The cheapest state reached is the result.
+are kept by hash, so no text is expanded twice. The cheapest of all texts within ``MAX_STEPS`` undone steps is the
+result: a state is left out only where no way on can be cheaper than the best one found.
 
 The cost is a sum over blank-separated tokens, so that tokens, which recur, are priced once per worker.
 """
@@ -31,7 +32,7 @@ SINGLE = (
     ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp437", "cp1252"), ("cp1252", "cp437"), ("cp850", "cp1252"), ("cp1252", "cp850"),
     ("cp1250", "cp1252"), ("iso8859-2", "cp1250"), ("cp1250", "iso8859-2"),
 )
-CHARSET_COST, ESCAPE_COST, GAIN, MAX_EXPANSIONS, PATIENCE = 1.0, 0.3, 0.25, 80, 20
+CHARSET_COST, ESCAPE_COST, GAIN, MAX_STEPS = 1.0, 0.3, 0.25, 3
 DOUBLE = (("cp1252", "cp932"), ("latin-1", "cp932"), ("cp1252", "euc_jp"), ("latin-1", "euc_jp"))
 OPENERS, CLOSERS = set("“„‚‘«¿¡‹"), set("”’»…›–—‐‑·•")
 SYMBOLS_AFTER_WORD = set("™®²³°ºª€%′″")
@@ -81,16 +82,21 @@ def _kind(c: str) -> str:
 
 
 BASE = {"a": 0, "A": 0, "0": 0, "p": 0, "l": 0.03, "U": 0.05, "c": 0, "C": 0.03, "y": 2.5, "j": 0.01, "q": 0.1, "e": 0.03, "s": 0.2, "n": 0.05, "h": 1.5, "x": 5, "r": 6, "b": 3, "g": 1.5, "m": 0.5, "o": 2.0}
-# The most frequent pairs of letters in Russian words.
-RUSSIAN_PAIRS = frozenset(
-    "ст но то на ен ов ни ра во ко ро ос ал по го пр ре ом ли ла ор не ет от ер ан ол ес ка ел те ле ва ит ат та"
-    " од ин за ти де ло об ог пе ой ри ск ис ва до ми тр ны ве ма да ки ая из мо со сл ее бе ам ас ви ил ав им вы"
-    " ик ья ад ож ча ше мы ня ру бо чи ич тв ед ый их ия ие ий ям ях ых ым му ас шк лк рк рт нт нн тн чн жн дл ля ук ум"
-    " ок ек ящ щи яч жк ну ку ту ут ур ус ды ры ты сы лы пл пи ди дн дк би бр бу кл кр гр гу зм зн ме жд щи юк юш рю зо зи"
-    " аг ах ач аш аз ай ак ап ев ег ей ещ ём ёг ёп ёр лё тё дё св си се сс сп сн см сь ть ль нь ьн ьк ьш рс рн рм рж хо ху хр"
-    " ши ша шу це ци цв ян яг яд ят жа же жи зы уз уд уч уп ул ем об юб лю оп оч он ох ош ощ ро тз вн вс вк вл эк эл яр ще"
-    " нс ух ыб ыв па ар иа са йн дя кз гк бн аж ба пе ки гл дв хл ча жи зд зе ио ию йк йс йт кт лс мп нд нг нк ню оо оя пт пя рд рл рн сы ськ тл тс уп фо хн чт шн ым ыс эт ют яв".split()
-)
+# Common Russian words, whose pairs of letters tell right words from swapped ones.
+RUSSIAN_WORDS = (
+    "человек время рука дело жизнь день голова друг дом слово место лицо сторона нога дверь работа земля конец голос"
+    " город вода стол ребёнок сила отец женщина машина случай ночь вид начало вопрос деньги минута правда страна свет"
+    " товарищ дорога окно комната стена система тело власть история общество закон месяц причина помощь новый первый"
+    " последний хороший большой маленький русский целый лучший лёгкий тёплый удобный прочный красный чёрный синий белый"
+    " быстрый длинный широкий мягкий тяжёлый дешёвый свежий который можно только также после между через почему потому"
+    " чтобы если когда сейчас теперь всегда очень сегодня вчера вместе думать говорить делать знать стать хотеть видеть"
+    " идти стоять спросить получить понять работать выберите откройте сравните читайте магазин товар цена скидка доставка"
+    " заказ покупатель размер цвет качество подарок отзыв склад гарантия оплата возврат корзина кухня посуда одежда обувь"
+    " мебель инструмент книга игрушка сумка зонт часы лампа ключ ящик нож шкаф полка ковёр плита щётка дача поход хобби"
+    " шерсть хлопок кожа сталь стекло дерево бумага семья июль объём съезд вьюга юбка ящерица эхо фонарь цепь хвост"
+    " жжение шлюз"
+).split()
+RUSSIAN_PAIRS = frozenset(a + b for w in RUSSIAN_WORDS for a, b in zip(w, w[1:]))
 LETTER, LATIN, LATIN_MARKED, CYRILLIC = set("aAlUcCygj"), set("aAlU"), set("lU"), set("cCy")
 _kinds: dict[str, str] = {}
 _costs: dict[str, float] = {}
@@ -202,8 +208,8 @@ RUNS = {c: re.compile("[" + "".join(map(re.escape, map(chr, t))) + "]{2,}") for
 WELL_FORMED = re.compile(
     rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}"
 )
-# 0xA0 that became a blank: Ã followed by a blank that a word border precedes was à.
-LOST_NBSP = re.compile(r"(?<![^\s(])Ã {1,2}(?=[\w“«(])|(?<![^\s(])Ã$|(?<=qu’)Ã(?=\s|$)")
+# 0xA0 that became a blank: Ã followed by a blank that a word border or an apostrophe precedes was à.
+LOST_NBSP = re.compile(r"(?<![^\s(])Ã {1,2}(?=[\w“«(])|(?<![^\s(])Ã$|(?<=[’'])Ã(?=\s|$)")
 PAIRS = {(a, b): {p: bytes([x]).decode(b, "replace") for p, x in TABLES[a].items()} for a, b in SINGLE}
 WORDS = re.compile(r"[^\s!-/:-@\[-`{-~]*[^\x00-\x7f\s][^\s!-/:-@\[-`{-~]*")
 
@@ -284,8 +290,8 @@ def neighbours(text: str) -> Iterator[tuple[str, str, float]]:
             yield ">".join(pair), out, CHARSET_COST + 0.1
 
 
-def repair(text: str | None) -> tuple[str | None, str, bool]:
-    """Cheapest reachable text, the steps there, and whether the text was garbled (recoverable or not).
+def repair(text: str | None, max_steps: int = MAX_STEPS) -> tuple[str | None, str, bool]:
+    """Cheapest text within ``max_steps``, the steps there, and whether the text was garbled (recoverable or not).
 
     Null and empty texts, and plain ASCII without character references, are returned as they are.
     """
@@ -296,25 +302,23 @@ def repair(text: str | None) -> tuple[str | None, str, bool]:
     if start > CHARSET_COST and "�" in text and cost(text.replace("�", "")) <= CHARSET_COST:
         return text, "", True  # nothing but lost characters
     if start > CHARSET_COST:
-        heap = [(start, 0, start, 0.0, text, "")]
-        seen, order, expansions, improved = {hash(text)}, 0, 0, 0
-        while heap and expansions < MAX_EXPANSIONS and expansions - improved <= PATIENCE:
-            _, _, total, way, state, path = heapq.heappop(heap)
+        heap = [(start, 0, start, 0.0, 0, text, "")]
+        seen, order = {hash(text)}, 0
+        while heap:
+            _, _, total, way, depth, state, path = heapq.heappop(heap)
             if total < best_total - 1e-9:
-                best, best_total, steps, improved = state, total, path, expansions
-            if way + (ESCAPE_COST if "&" in state else CHARSET_COST) + (GAIN if way else 0.0) >= best_total:
+                best, best_total, steps = state, total, path
+            if depth == max_steps or way + (ESCAPE_COST if "&" in state else CHARSET_COST) + (GAIN if way else 0.0) >= best_total:
                 continue  # any way on costs about as much as the best text found, or more
-            expansions += 1
             for name, out, step in neighbours(state):
                 key = hash(out)
                 if key not in seen:
                     seen.add(key)
                     order += 1
                     there = cost(out) + way + step
-                    if there < start + 2.5 or name == "unescape" or name.endswith(">utf-8"):
-                        # Well-formed UTF-8 is no accident: such states are looked at before others as plausible.
-                        first = there - 0.8 * (there - way - step) if name.endswith(">utf-8") else there
-                        heapq.heappush(heap, (first, order, there, way + step, out, f"{path} {name}".strip()))
+                    # Well-formed UTF-8 is no accident: such states are looked at before others as plausible.
+                    first = there - 0.8 * (there - way - step) if name.endswith(">utf-8") else there
+                    heapq.heappush(heap, (first, order, there, way + step, depth + 1, out, f"{path} {name}".strip()))
     wrong = ">" in steps or bool(LOST.search(text) or BROKEN.search(text))
     return best, steps, wrong
 

@@ -2,8 +2,7 @@
 
 Lines are cut into pieces at separators and sentence ends; a piece is reduced to a shape: a class of its number
 of words, its capitals, the separator behind it, and whether it is a link or a tag. The shapes of a page are
-grouped; a page is flagged when more than half of its words stand in shapes that no sentence has and few such
-shapes hold nearly all of these words. A sentence that makes do, together with the neighbours most like it, with
+grouped; a page is flagged when more than half of its words stand in shapes that no sentence has. A sentence that makes do, together with the neighbours most like it, with
 the same few words again and again counts as keyword repetition, whatever else the page holds.
 """
 
@@ -22,14 +21,14 @@ from pyspark.sql import functions as F
 from crawlmill.sources.tables import spread
 
 SHORT_PIECE, LONG_RUN = 5, 45
-FEW_SHAPES, LEAST_WORDS, LEAST_PIECES = 6, 12, 4
+FEW_SHAPES = 6  # shapes named in the result
 TOP_WORDS, TOP_SHARE, TOP_LEAST = 6, 0.55, 20
 REACH, ALIKE, GROUP_DISTINCT, AGAIN = 6, 3, 0.5, 0.6
-RUN_LEAST, RUN_DISTINCT, LONG_DISTINCT = 12, 0.8, 0.72
+RUN_LEAST, RUN_DISTINCT, LONG_DISTINCT, SHORT_DISTINCT = 12, 0.8, 0.72, 0.5
 SENTENCE_LEAST, SENTENCE_PIECES = 8, 4
 
 WORD = re.compile(r"[^\W_]+")
-LINK = re.compile(r"\[[^\]\n]*\]\([^)\n]*\)|https?://\S+|\bwww\.\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|info|example|io|de|fr|es|co|test|invalid|shop|biz)\b(?:/\S*)?", re.I)
+LINK = re.compile(r"\[[^\]\n]*\]\([^)\n]*\)|https?://\S+|\bwww\.\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}\b(?:/\S*)?", re.I)
 # What ends a piece: a separator with blanks, punctuation, or a tag's beginning.
 CUT = re.compile(r"[,;|/•·»›→>]+(?=\s|$)|\s+[-–—/|•·→>»*]+\s+|[.!?…。]+(?=\s|$)|(?<=\s)(?=#\w)|\t+")
 MAYBE_LINK = re.compile(r"://|\]\(|\w\.[a-z]", re.I)
@@ -94,7 +93,7 @@ def _repeated(said: list[list[str]], enough: float) -> tuple[int, int]:
 def judge(text: str | None) -> tuple[float, int, int, str]:
     """Share of words outside sentences, number of words, of odd pieces, and the page's largest odd shapes.
 
-    Null, empty and wordless texts have a share of 0.
+    Null, empty and wordless texts have a share of 0, and so has a text that is one short piece (a bare title).
     """
     if not text:
         return 0.0, 0, 0, ""
@@ -129,8 +128,8 @@ def judge(text: str | None) -> tuple[float, int, int, str]:
                     kept[-1] += said
                     continue
                 if k > SHORT_PIECE and not links:
-                    limit = RUN_DISTINCT * (1 if part[0].islower() else 0.75) if k <= LONG_RUN else LONG_DISTINCT
-                    if k >= RUN_LEAST and (mark_end == " " or k > LONG_RUN) and len({w.lower() for w in said}) <= limit * k:
+                    limit = SHORT_DISTINCT if k < RUN_LEAST else RUN_DISTINCT * (1 if part[0].islower() else 0.75) if k <= LONG_RUN else LONG_DISTINCT
+                    if (mark_end == " " or k > LONG_RUN) and len({w.lower() for w in said}) <= limit * k:
                         odd_words += k  # an open run of words that come again
                         odd_pieces += k // SHORT_PIECE
                         shapes["run"] += k
@@ -160,12 +159,11 @@ def judge(text: str | None) -> tuple[float, int, int, str]:
     again, times = _repeated([x for x in kept if x], total / 2 - odd_words)
     if times:
         odd_words += again
-        odd_pieces += max(times, LEAST_PIECES)
+        odd_pieces += times
         shapes["repeat"] += again
-    few = sum(c for _, c in shapes.most_common(FEW_SHAPES))
     share = odd_words / total if total else 0.0
-    if few < 0.8 * odd_words or odd_words < LEAST_WORDS or odd_pieces < LEAST_PIECES:
-        share = min(share, 0.5)
+    if odd_pieces == 1 and not shapes.keys() & {"link", "run", "repeat"} and all(s[3] == "-" for s in shapes):
+        share = 0.0  # a single short piece without separator, link, tag or repetition is no list
     return share, total, odd_pieces, " ".join(f"{s}:{c}" for s, c in shapes.most_common(FEW_SHAPES))
 
 

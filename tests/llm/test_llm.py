@@ -42,6 +42,26 @@ def test_other_garbled_texts():
     assert mojibake.repair("GrÃ¼ne " * 20_000)[0] == "Grüne " * 20_000
 
 
+def test_search_is_exhaustive(monkeypatch):
+    """The result is the cheapest of all texts within three steps, also where hundreds of states are reached."""
+    texts = ["ÐÑÐ¾ÑÐ½ÑÐ¹ ÑÑÑÐ» Ð´Ð»Ñ ÑÐ°Ð´Ð°", "Ð¡ÐºÐ»Ð°Ð´Ð½Ð¾Ð¹ ÑÐ°Ð¹Ð½Ð¸Ðº", "ÐÐ¾Ð²ÑÐ¹ ÑÑÑÐ»", "GrÃƒÂ¼ne TÃƒÂ¼rklingel &#195;&#188;"]
+    most = 0
+    for text in texts:
+        level, reached = {text: 0.0}, {text: 0.0}
+        for _ in range(3):
+            following = {}
+            for state, way in level.items():
+                for _, out, step in mojibake.neighbours(state):
+                    if way + step < reached.get(out, 1e9):
+                        following[out] = reached[out] = min(way + step, following.get(out, 1e9))
+            level = following
+        most = max(most, len(reached))
+        best, steps, wrong = mojibake.repair(text)
+        cheapest = min(mojibake.cost(t) + w for t, w in reached.items())
+        assert wrong and mojibake.cost(best) + reached[best] <= cheapest + mojibake.CHARSET_COST + mojibake.GAIN
+    assert most > 80
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=60))
 def test_repair_never_fails(text):
@@ -221,6 +241,7 @@ def test_mix(spark):
         ("; ".join(["Size: red", "Tag=XL", "Colour 12 cm", "SKU=red"] * 5), True),
         ("Our nightly audit skipped the stale redirects on the test host. Support closed the ticket without a note, and nobody asked why.", False),
         ("- The picture of the lamp weighs 200 kilobytes, more than the page around it.\n- If the crawler ignored empty titles again, shorten the entries first.", False),
+        ("red lamp, buy lamp, lamp", True), ("#lamp #buylamp", True), ("https://lamp.example/a\nhttps://lamp.example/b", True), ("buy lamp buy lamp buy lamp", True),
         ("n/a", False), ("", False), (None, False), ("Title only: case 3", False),
     ],
 )
