@@ -83,12 +83,19 @@ def compare(before: DataFrame, after: DataFrame, keys: list[str], fields: list[s
     return both.select(*keys, kind.alias("change_kind")).filter("change_kind is not null")
 
 
-def issue_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """New and fixed issues: those of one set without one of equal rule, subject type and evidence in the other."""
-    keys = ["rule_id", "subject_type", "evidence_json"]
+def issue_changes(issues: DataFrame, pairs: DataFrame) -> DataFrame:
+    """New and fixed issues from one crawl to the next: ``issue_id, crawl_id, change_kind``.
+
+    ``pairs`` has ``crawl_id, next_id``. New is an issue of ``next_id`` without one of equal rule, subject type and
+    evidence in ``crawl_id``; fixed is one of ``crawl_id`` without such a one in ``next_id``. All pairs are compared
+    in one join per kind; a null in a compared field equals none. ``crawl_id`` is the later crawl.
+    """
+    keys = ["pair", "rule_id", "subject_type", "evidence_json"]
+    own = lambda side: issues.join(pairs.select(F.col(side).alias("crawl_id"), F.col("next_id").alias("pair")), "crawl_id").drop("crawl_id")
+    before, after = own("crawl_id"), own("next_id")
     new = after.join(before.select(*keys).distinct(), keys, "left_anti").withColumn("change_kind", F.lit("new"))
     fixed = before.join(after.select(*keys).distinct(), keys, "left_anti").withColumn("change_kind", F.lit("fixed"))
-    return new.unionByName(fixed)
+    return new.unionByName(fixed).select("issue_id", F.col("pair").alias("crawl_id"), "change_kind")
 
 
 def architecture(pages: DataFrame, links: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlmill.session import checkpointed
+
 HOT_CLASSES = 1000  # rows of a broadcast list of the largest classes: its proven size bound
 SALTS = 64
 
@@ -26,3 +28,18 @@ def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str
     joined = salted.withColumn("__salt", F.col("__salt").cast("long")).join(cold, [*keys, "__salt"], "left")
     kept = joined.filter(F.col("__hot") | F.col("__cold"))
     return kept.select(*rows.columns, *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in payload])
+
+
+def ranged(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``rows`` cut into ranges by key and order, with the range's number in ``__part``.
+
+    Ranges are of like size whatever the keys, so a window over (key, ``__part``) never gathers a hot key in one
+    task. The cut is kept, since ranges chosen anew might differ.
+    """
+    return checkpointed(rows.repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()))
+
+
+def join_parts(parts: DataFrame, figures: DataFrame, key: str) -> DataFrame:
+    """Rows of ``ranged`` with the figures of their key and range; null keys meet each other."""
+    of = figures.withColumnsRenamed({key: "__key", "__part": "__of"})
+    return parts.join(of, parts[key].eqNullSafe(of["__key"]) & (parts["__part"] == of["__of"])).drop("__key", "__of")

@@ -136,29 +136,41 @@ def _heavy_sql(key: str) -> str:
       HAVING count(*) >= {URL_SHARE} * (SELECT count(*) FROM link_record)"""
 
 
-ORACLES: dict[str, str] = {
-    "p5_found": f"{_heavy_sql('target_url')} UNION ALL {_heavy_sql('source_url')}",
-    "p5_url_figures": f"{_figures_sql('target_url', 'source_url')} UNION ALL {_figures_sql('source_url', 'target_url')}",
-    "p3_found": """
+# Every node's chain of parents, walked to its end or to a node met before.
+_WALK = """
   WITH RECURSIVE d AS (SELECT crawl_url_id AS id, min(discovered_from) AS p, min(depth) AS depth FROM discovery GROUP BY 1),
   h AS (SELECT DISTINCT unnest(redirects) AS r FROM fetch_result),
   e AS (SELECT r.source_url AS s, min(r.target_url) AS t FROM h WHERE r.source_url IS NOT NULL GROUP BY 1),
   n AS (SELECT 'discovery' AS k, CAST(id AS VARCHAR) AS v, CAST(p AS VARCHAR) AS p, depth FROM d
         UNION ALL SELECT 'redirect', s, t, NULL FROM e
         UNION ALL SELECT DISTINCT 'redirect', t, CAST(NULL AS VARCHAR), NULL FROM e WHERE t IS NOT NULL AND t NOT IN (SELECT s FROM e)),
-  w(k, v, depth, last, cur, steps, seen) AS (
+  w(k, v, recorded, last, cur, steps, seen) AS (
     SELECT k, v, depth, v, p, 0, [v] FROM n
     UNION ALL
-    SELECT w.k, w.v, w.depth, n.v, n.p, w.steps + 1, list_append(w.seen, n.v)
+    SELECT w.k, w.v, w.recorded, n.v, n.p, w.steps + 1, list_append(w.seen, n.v)
     FROM w JOIN n ON n.k = w.k AND n.v = w.cur WHERE w.cur IS NOT NULL AND NOT list_contains(w.seen, w.cur)),
-  z AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY k, v ORDER BY steps DESC) = 1),
+  z AS (SELECT *, list_position(seen, cur) AS met FROM w QUALIFY row_number() OVER (PARTITION BY k, v ORDER BY steps DESC) = 1),
+  y AS (SELECT k, v, recorded, cur, CASE WHEN cur IS NULL OR coalesce(met, 0) = 0 THEN 'tree' WHEN met = 1 THEN 'cycle' ELSE 'below_cycle' END AS state,
+      CASE WHEN cur IS NULL THEN seen WHEN coalesce(met, 0) = 0 THEN list_append(seen, cur) ELSE seen[:met] END AS up, CASE WHEN met > 0 THEN list_min(seen[met:]) END AS low FROM z),
+  t AS (SELECT k, v, recorded, cur, state, len(up) - 1 AS depth, list_reverse(up) AS path, coalesce(low, up[-1]) AS root FROM y)"""
+
+ORACLES: dict[str, str] = {
+    "p5_found": f"{_heavy_sql('target_url')} UNION ALL {_heavy_sql('source_url')}",
+    "p5_url_figures": f"{_figures_sql('target_url', 'source_url')} UNION ALL {_figures_sql('source_url', 'target_url')}",
+    "p3_found": _WALK + """,
   f AS (SELECT k, v, CASE
-      WHEN cur IS NOT NULL AND cur = v THEN 'cycle'
-      WHEN cur IS NOT NULL AND list_contains(seen, cur) THEN 'below_cycle'
-      WHEN k = 'redirect' THEN CASE WHEN steps > 10 THEN 'too_deep' END
+      WHEN state <> 'tree' THEN state
+      WHEN k = 'redirect' THEN CASE WHEN depth > 10 THEN 'too_deep' END
       WHEN cur IS NOT NULL THEN 'lost_root'
-      WHEN depth <> steps THEN 'wrong_depth' END AS finding FROM z)
+      WHEN recorded <> depth THEN 'wrong_depth' END AS finding FROM t)
   SELECT k AS tree_kind, v AS node_key, finding FROM f WHERE finding IS NOT NULL""",
+    "p3_hierarchy": _WALK + """,
+  b AS (SELECT k, a, count(*) AS n FROM (SELECT k, unnest(path[:-2]) AS a FROM t) GROUP BY k, a)
+  SELECT t.k AS tree_kind, t.v AS node_key, t.root AS root_key, t.depth, array_to_string(t.path, ' > ') AS path, coalesce(b.n, 0) AS n_descendants, t.state
+  FROM t LEFT JOIN b ON b.k = t.k AND b.a = t.v""",
+    "p3_descendants": _WALK + """
+  SELECT k AS tree_kind, a AS node_key, v AS descendant_key, depth + 1 - i AS steps FROM
+    (SELECT k, v, depth, unnest(path[:-2]) AS a, unnest(range(1, len(path))) AS i FROM t)""",
     "p6_found": """
   WITH runs AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY started_at, crawl_id) AS n
       FROM (SELECT DISTINCT crawl_id, project_id, started_at FROM crawl_run WHERE status = 'completed')),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlmill.functions import html, text, urls
@@ -432,24 +432,46 @@ def q_page_detail(spark: SparkSession, sf: str) -> DataFrame:
     return pages.join(data, "page_id", "left").join(issues, "page_id", "left")
 
 
+_PAIRS = """r AS (SELECT crawl_id, lead(crawl_id) OVER (PARTITION BY project_id ORDER BY started_at, crawl_id) AS next_id FROM (SELECT DISTINCT crawl_id, project_id, started_at FROM crawl_run)),
+  p AS (SELECT crawl_id AS a, next_id AS b FROM r WHERE next_id IS NOT NULL)"""
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each crawl with the next one of its project."""
+    runs = table(spark, sf, "crawl_run", "crawl_id", "project_id", "started_at").distinct()
+    order = Window.partitionBy("project_id").orderBy("started_at", "crawl_id")
+    return runs.select("crawl_id", F.lead("crawl_id").over(order).alias("next_id")).filter("next_id is not null")
+
+
 @query(
     "q_issue_changes",
-    """WITH i AS (SELECT DISTINCT * FROM issue), r AS (SELECT crawl_id, lead(crawl_id) OVER (PARTITION BY project_id ORDER BY started_at) AS next_id FROM (SELECT DISTINCT crawl_id, project_id, started_at FROM crawl_run)),
-      p AS (SELECT crawl_id AS a, next_id AS b FROM r WHERE next_id IS NOT NULL ORDER BY 1, 2 LIMIT 1)
-      SELECT issue_id, 'new' AS change_kind FROM i, p WHERE i.crawl_id = p.b AND NOT EXISTS (SELECT 1 FROM i o WHERE o.crawl_id = p.a AND o.rule_id = i.rule_id AND o.subject_type = i.subject_type AND o.evidence_json = i.evidence_json)
-      UNION ALL SELECT issue_id, 'fixed' FROM i, p WHERE i.crawl_id = p.a AND NOT EXISTS (SELECT 1 FROM i o WHERE o.crawl_id = p.b AND o.rule_id = i.rule_id AND o.subject_type = i.subject_type AND o.evidence_json = i.evidence_json)""",
+    f"""WITH i AS (SELECT DISTINCT * FROM issue), {_PAIRS}
+      SELECT issue_id, p.b AS crawl_id, 'new' AS change_kind FROM i JOIN p ON i.crawl_id = p.b
+      WHERE NOT EXISTS (SELECT 1 FROM i o WHERE o.crawl_id = p.a AND o.rule_id = i.rule_id AND o.subject_type = i.subject_type AND o.evidence_json = i.evidence_json)
+      UNION ALL SELECT issue_id, p.b, 'fixed' FROM i JOIN p ON i.crawl_id = p.a
+      WHERE NOT EXISTS (SELECT 1 FROM i o WHERE o.crawl_id = p.b AND o.rule_id = i.rule_id AND o.subject_type = i.subject_type AND o.evidence_json = i.evidence_json)""",
 )
 def q_issue_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """New and fixed issues between the first two crawls, by key, of a project."""
-    from pyspark.sql import Window
+    """New and fixed issues between every two consecutive crawls of a project."""
+    issues = _issues(spark, sf, "issue_id", "crawl_id", "rule_id", "subject_type", "evidence_json")
+    return reads.issue_changes(issues, _pairs(spark, sf))
 
-    runs = table(spark, sf, "crawl_run", "crawl_id", "project_id", "started_at").distinct()
-    pairs = runs.withColumn("next_id", F.lead("crawl_id").over(Window.partitionBy("project_id").orderBy("started_at"))).filter("next_id is not null")
-    pair = pairs.orderBy("crawl_id", "next_id").limit(1)
-    issues = _issues(spark, sf)
-    before = issues.join(pair.select("crawl_id"), "crawl_id", "left_semi")
-    after = issues.join(pair.select(F.col("next_id").alias("crawl_id")), "crawl_id", "left_semi")
-    return reads.issue_changes(before, after).select("issue_id", "change_kind")
+
+@query(
+    "q_page_changes",
+    WITH + f""", {_PAIRS}, f AS (SELECT p.b AS crawl_id, page.url, coalesce(title, '') AS t, coalesce(canonical_url, '') AS c, coalesce(content_hash, '') AS h, coalesce(CAST(status_code AS VARCHAR), '') AS s FROM page JOIN p ON page.crawl_id = p.a),
+      g AS (SELECT page.crawl_id, page.url, coalesce(title, '') AS t, coalesce(canonical_url, '') AS c, coalesce(content_hash, '') AS h, coalesce(CAST(status_code AS VARCHAR), '') AS s FROM page JOIN p ON page.crawl_id = p.b)
+      SELECT * FROM (SELECT coalesce(f.crawl_id, g.crawl_id) AS crawl_id, coalesce(f.url, g.url) AS url, CASE WHEN f.url IS NULL THEN 'added' WHEN g.url IS NULL THEN 'removed'
+        WHEN (f.t, f.c, f.h, f.s) <> (g.t, g.c, g.h, g.s) THEN 'changed' END AS change_kind FROM f FULL JOIN g ON f.crawl_id = g.crawl_id AND f.url = g.url) WHERE change_kind IS NOT NULL""",
+)
+def q_page_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages added, removed or changed between every two consecutive crawls of a project."""
+    fields = ["title", "canonical_url", "content_hash", "status_code"]
+    pages = ev.pages(spark, sf, *fields)
+    pairs = _pairs(spark, sf)
+    before = pages.join(pairs, "crawl_id").drop("crawl_id").withColumnRenamed("next_id", "crawl_id")
+    after = pages.join(pairs.select(F.col("next_id").alias("crawl_id")), "crawl_id")
+    return reads.compare(before, after, ["crawl_id", "url"], fields)
 
 
 _ARCHITECTURE = WITH + """, i AS (SELECT crawl_id, target_url AS url, count(*) AS inlinks FROM link WHERE kind = 'internal' GROUP BY ALL),

@@ -31,13 +31,13 @@ def query(name: str, sql: str | None = None):  # noqa: ANN201
     "st_frontier",
     """WITH RECURSIVE e AS (SELECT DISTINCT source_url, target_url FROM link_record WHERE kind = 'internal' AND source_url IS NOT NULL AND target_url IS NOT NULL AND source_url <> target_url),
       r(url, depth) AS (SELECT url, 0 FROM discovery WHERE discovery_kind = 'seed' AND url IS NOT NULL
-        UNION SELECT e.target_url, r.depth + 1 FROM r JOIN e ON e.source_url = r.url WHERE r.depth < 4)
+        UNION SELECT e.target_url, r.depth + 1 FROM r JOIN e ON e.source_url = r.url WHERE r.depth < 30)
       SELECT url, min(depth) AS depth FROM r GROUP BY url""",
 )
 def st_frontier(spark: SparkSession, sf: str) -> DataFrame:
-    """Breadth-first crawl of the internal links from the seeds, four rounds deep."""
+    """Breadth-first crawl of the internal links from the seeds, until a round finds nothing new."""
     seeds = table(spark, sf, "discovery", "url", "discovery_kind").filter("discovery_kind = 'seed'")
-    return frontier.crawl(seeds, table(spark, sf, "link_record", "source_url", "target_url", "kind").filter("kind = 'internal'"), 4).select("url", "depth")
+    return frontier.crawl(seeds, table(spark, sf, "link_record", "source_url", "target_url", "kind").filter("kind = 'internal'")).select("url", "depth")
 
 
 @query(

@@ -14,13 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def scan_parts(df: DataFrame) -> int:
+    """Number of tasks that read the tables under ``df``; nothing is run, whatever is done to the rows above."""
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    return sum(leaf.execute().getNumPartitions() for leaf in found)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Give Python stages one task per core and more, where a file arrives as fewer tasks than cores.
 
-    A table that is already split into at least as many parts as the cluster has cores is left as it is,
-    so large inputs are never moved; only files that form too few scan tasks are dealt out round-robin.
+    A table that is already read by at least as many tasks as the cluster has cores is left as it is, so large
+    inputs are never moved; only files that form too few scan tasks are dealt out round-robin.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if scan_parts(df) >= cores:
         return df
     return df.repartition(cores * 2, *[F.col(c) for c in columns])
