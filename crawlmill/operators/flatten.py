@@ -13,13 +13,14 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlmill.sources.tables import spread
 
-PARTS = "tag string, pk string, parent_pk string, object_path string, kind string, payload string"
+ROWS_AT_ONCE = 20_000
+FIELDS, KINDS = ("tag", "pk", "parent_pk", "object_path", "kind", "payload"), ("object", "element", "value")
 _TOKEN = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null))[ \t\n\r]*')
 
 
@@ -27,10 +28,6 @@ def _refuse(name: str) -> Any:
     raise ValueError(name)
 
 
-def _pairs(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
-    return dict(pairs)
-
-
 def _load_deep(text: str) -> Any:
     """Read JSON of any depth without recursion: a stack of open containers and their pending names."""
     stack: list[tuple[Any, Any]] = []
@@ -48,7 +45,7 @@ def _load_deep(text: str) -> Any:
                 raise ValueError("container")
             stack.append(({} if mark == "{" else [], name))
             name, want_name = None, mark == "{"
-            if re.compile(r"\}" if mark == "{" else r"\]").match(text, pos):
+            if text.startswith("}", pos):
                 want_name = False
         elif mark in ("}", "]"):
             if not stack or isinstance(stack[-1][0], dict) != (mark == "}") or (name is not None and not have):
@@ -91,27 +88,32 @@ def load(text: str) -> Any:
         return _load_deep(text)
 
 
-def parts(text: str | None) -> Iterator[tuple[str, str, str | None, str, Any]]:
-    """Tag, path, path of the enclosing part, kind and payload of each part, depth first.
-
-    A text that holds JSON once more is read once more. Null, empty and invalid texts have no parts.
-    """
+def _value(text: str | None) -> tuple[bool, Any]:
+    """Whether a text is JSON, and its value; one that holds JSON once more is read once more."""
     if not text:
-        return
+        return False, None
     try:
         value = load(text)
-        if isinstance(value, str):
-            value = load(value)
+        return True, load(value) if isinstance(value, str) else value
     except ValueError:
-        return
-    stack: list[tuple[Any, str, str, str | None]] = [(value, "$", "$", None)]
+        return False, None
+
+
+def parts(text: str | None) -> Iterator[tuple[int, int | None, str, str, str, Any]]:
+    """Number, number of the enclosing object, tag, path, kind and value of each part, depth first.
+
+    Parts are numbered in the order they are met, so two parts never share a number, whatever dots or brackets
+    stand in member names. Null, empty and invalid texts have no parts.
+    """
+    valid, value = _value(text)
+    stack: list[tuple[Any, str, str, int | None]] = [(value, "$", "$", None)] if valid else []
+    number = 0
     while stack:
         node, tag, path, parent = stack.pop()
         if isinstance(node, dict):
-            flat = {k: v for k, v in node.items() if not isinstance(v, (dict, list))}
-            yield tag, path, parent, "object", flat
-            inner = [(v, f"{tag}.{k}", f"{path}.{k}", path) for k, v in node.items() if isinstance(v, (dict, list))]
-            stack.extend(reversed(inner))
+            yield number, parent, tag, path, "object", node
+            stack.extend([(v, f"{tag}.{k}", f"{path}.{k}", number) for k, v in reversed(node.items()) if isinstance(v, (dict, list))])
+            number += 1
         elif isinstance(node, list):
             inner = []
             for i, v in enumerate(node):
@@ -119,39 +121,66 @@ def parts(text: str | None) -> Iterator[tuple[str, str, str | None, str, Any]]:
                 if isinstance(v, (dict, list)):
                     inner.append((v, tag + "[]" if isinstance(v, list) else tag, at, parent))
                 else:
-                    yield tag + "[]", at, parent, "element", v
+                    yield number, parent, tag + "[]", at, "element", v
+                    number += 1
             stack.extend(reversed(inner))
         elif parent is None:
-            yield tag, path, None, "value", node
+            yield number, None, tag, path, "value", node
+            number += 1
 
 
-def flatten(df: DataFrame, kind: str, key: str, field: str) -> DataFrame:
-    """All parts of ``field``: ``record_kind, record_key``, then ``PARTS``.
+def _said(text: str | None) -> str | None:
+    return text if text is None or text.isascii() else text.encode("utf-8", "replace").decode()
 
-    ``pk`` is record kind, record key and path; ``parent_pk`` that of the enclosing object (null at the top).
-    A null key or value gives no part; repeated rows give repeated parts with the same ``pk``. Payloads are
-    JSON. A lone surrogate in a member name, which no text may hold, becomes a question mark.
-    """
-    rows = df.filter(F.col(key).isNotNull() & F.col(field).isNotNull()).select(F.col(key).cast("string").alias("record_key"), F.col(field).alias("value"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dump = json.JSONEncoder(separators=(",", ":")).encode
-        for part in batches:
-            out: list[tuple] = []
-            for record, text in zip(part["record_key"], part["value"]):
-                own = f"{kind}:{record}:"
-                for tag, path, parent, what, payload in parts(text):
-                    if not path.isascii():
-                        tag, path, parent = (x and x.encode("utf-8", "replace").decode() for x in (tag, path, parent))
-                    out.append((kind, record, f"{kind}{tag[1:]}", own + path, own + parent if parent else None, path, what, dump(payload)))
-            yield pd.DataFrame(out, columns=["record_kind", "record_key", "tag", "pk", "parent_pk", "object_path", "kind", "payload"])
+def flatten(df: DataFrame, kind: str, key: str, field: str, fields: tuple[str, ...] = FIELDS, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """All parts of ``field``: ``record_kind, record_key``, then ``fields`` of parts that are one of ``kinds``.
 
-    return spread(rows).mapInPandas(run, "record_kind string, record_key string, " + PARTS)
+    ``pk`` is record kind, record key, digest of the value and number of the part; ``parent_pk`` that of the
+    enclosing object (null at the top). A null key or value gives no part. Where keys are asked for, a record
+    delivered twice is read once; else its parts come twice. The payload of an object is its plain members as
+    JSON. A lone surrogate in a member name, which no text may hold, becomes a question mark. Rows are handed on
+    in bounded numbers, however many parts a value has, and only ``fields`` are made.
+    """
+    named = F.col(key).cast("string").alias("record_key")
+    rows = df.filter(F.col(key).isNotNull() & F.col(field).isNotNull()).select(named, F.col(field).alias("value"))
+    if "pk" in fields or "parent_pk" in fields:
+        rows = rows.distinct().withColumn("digest", F.lower(F.hex(F.xxhash64("value"))))
+    else:
+        rows = rows.withColumn("digest", F.lit(""))
+    dump = json.JSONEncoder(separators=(",", ":")).encode
+    make = {
+        "tag": lambda own, number, parent, tag, path, what, value: _said(kind + tag[1:]),
+        "pk": lambda own, number, parent, tag, path, what, value: f"{own}{number}",
+        "parent_pk": lambda own, number, parent, tag, path, what, value: None if parent is None else f"{own}{parent}",
+        "object_path": lambda own, number, parent, tag, path, what, value: _said(path),
+        "kind": lambda own, number, parent, tag, path, what, value: what,
+        "payload": lambda own, number, parent, tag, path, what, value: dump({k: v for k, v in value.items() if not isinstance(v, (dict, list))} if what == "object" else value),
+    }
+    wanted = [make[f] for f in fields]
+    names = ["record_key", *fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for batch in batches:
+            for record, text, digest in zip(*(batch.column(n).to_pylist() for n in ("record_key", "value", "digest"))):
+                own = f"{kind}:{record}:{digest}:"
+                for part in parts(text):
+                    if part[4] in kinds:
+                        out.append((record, *[f(own, *part) for f in wanted]))
+                        if len(out) == ROWS_AT_ONCE:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names)
+                            out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names)
+
+    found = spread(rows).mapInArrow(run, ", ".join(f"{n} string" for n in names))
+    return found.select(F.lit(kind).alias("record_kind"), *names)
 
 
 def write_tables(flat: DataFrame, path: str) -> None:
-    """Write the parts partitioned by table tag; a record delivered twice is written once."""
-    flat.dropDuplicates(["pk"]).write.mode("overwrite").partitionBy("tag").parquet(path)
+    """Write the parts partitioned by table tag."""
+    flat.write.mode("overwrite").partitionBy("tag").parquet(path)
 
 
 def typed_table(flat: DataFrame, tag: str, schema: str) -> DataFrame:

@@ -97,21 +97,19 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(runs.select("project_id", "number", "crawl_id"), ["project_id", "number"]).select("crawl_id", "url", "change_kind")
 
 
-def json_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """All parts of the three JSON fields."""
-    fields = (("structured_data", "structured_data", "structured_data_id", "evidence_json"), ("issue", "issue", "issue_id", "evidence_json"), ("observation", "integration_observation", "observation_id", "result"))
-    found = [flatten.flatten(table(spark, sf, name, key, field), kind, key, field) for kind, name, key, field in fields]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+JSON_FIELDS = (("structured_data", "structured_data", "structured_data_id", "evidence_json"), ("issue", "issue", "issue_id", "evidence_json"), ("observation", "integration_observation", "observation_id", "result"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every object inside a JSON field but the outermost."""
-    return json_parts(spark, sf).filter("kind = 'object' and object_path <> '$'").select("record_kind", "record_key", "object_path").distinct()
+    found = [flatten.flatten(table(spark, sf, name, key, field), kind, key, field, ("object_path",), ("object",)) for kind, name, key, field in JSON_FIELDS]
+    return found[0].unionByName(found[1]).unionByName(found[2]).filter("object_path <> '$'").distinct()
 
 
 def p7_parts(spark: SparkSession, sf: str) -> DataFrame:
     """The flat tables, one row per part with its table tag, key, parent and members."""
-    return json_parts(spark, sf).dropDuplicates(["pk"])
+    found = [flatten.flatten(table(spark, sf, name, key, field), kind, key, field) for kind, name, key, field in JSON_FIELDS]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -81,7 +81,7 @@ def test_ordinals_persist(spark):
 
 
 def paths(text):
-    return [p for _, p, _, kind, _ in flatten.parts(text) if kind == "object"]
+    return [p for _, _, _, p, kind, _ in flatten.parts(text) if kind == "object"]
 
 
 @pytest.mark.parametrize(
@@ -108,17 +108,23 @@ def test_deep_json_needs_no_recursion():
 
 
 def test_flatten_keeps_links(spark, tmp_path):
-    rows = [(1, '{"x":1,"items":[{"n":"a","tags":["t",null]},{"n":"b"}]}', "d"), (1, '{"x":1,"items":[{"n":"a","tags":["t",null]},{"n":"b"}]}', "d"), (2, None, "d"), (None, "{}", "d"), (3, '{"\\ud800":{}}', "d")]
+    one = '{"x":1,"items":[{"n":"a","tags":["t",null]},{"n":"b"}]}'
+    rows = [(1, one, "d"), (1, one, "d"), (2, None, "d"), (None, "{}", "d"), (3, '{"\\ud800":{}}', "d"), (4, '{"a.b":{"x":1},"a":{"b":{"y":2}}}', "d")]
     df = spark.createDataFrame(rows, "id long, j string, tag string")
     flat = flatten.flatten(df, "r", "id", "j")
-    got = {r.pk: r for r in flat.collect()}
-    assert got["r:1:$.items[1]"].parent_pk == "r:1:$" and got["r:1:$.items[1]"].tag == "r.items"
-    assert json.loads(got["r:1:$.items[0].tags[0]"].payload) == "t" and got["r:1:$.items[0].tags[0]"].parent_pk == "r:1:$.items[0]"
-    assert "r:3:$.?" in got
+    every = flat.collect()
+    assert len({r.pk for r in every}) == len(every)  # a record delivered twice is read once, no parts share a key
+    got = {(r.record_key, r.object_path): r for r in every}
+    assert got["1", "$.items[1]"].parent_pk == got["1", "$"].pk and got["1", "$.items[1]"].tag == "r.items"
+    assert json.loads(got["1", "$.items[0].tags[0]"].payload) == "t" and got["1", "$.items[0].tags[0]"].parent_pk == got["1", "$.items[0]"].pk
+    assert ("3", "$.?") in got
+    same = sorted(r.payload for r in every if (r.record_key, r.object_path) == ("4", "$.a.b"))
+    assert same == ['{"x":1}', '{"y":2}']
     flatten.write_tables(flat, str(tmp_path / "t"))
     back = spark.read.parquet(str(tmp_path / "t"))
     assert [r.n for r in flatten.typed_table(back, "r.items", "n string").orderBy("pk").collect()] == ["a", "b"]
     assert flatten.flatten(df.limit(0), "r", "id", "j").count() == 0
+    assert flatten.flatten(df, "r", "id", "j", ("object_path",), ("object",)).filter("record_key = '1'").count() == 6
 
 
 def test_queries_and_sql_have_one_name_space():
