@@ -2,6 +2,7 @@ import json
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,11 @@ def test_snapshots_against_brute_force(spark):
             want |= {(p, n, u, "added") for u in new.keys() - old.keys()} | {(p, n, u, "removed") for u in old.keys() - new.keys()}
             want |= {(p, n, u, "changed") for u in new.keys() & old.keys() if new[u] != old[u]}
     assert got == want
+    # A later run takes up the ordinals of an earlier one and extends them.
+    first = snapshots.assign_ordinals(df.filter("number <= 2"), "project", "url", 3)
+    watched = {"v": F.coalesce("v", F.lit(0))}
+    again = snapshots.snapshot_changes(df, "project", "number", "url", watched, ["at"], bounds, 3, first)
+    assert {tuple(r) for r in again.collect()} == want
     assert snapshots.snapshot_changes(df.limit(0), "project", "number", "url", {"v": F.col("v")}, ["at"], bounds).count() == 0
 
 
@@ -80,6 +86,18 @@ def test_ordinals_persist(spark):
     assert len({(r.block, r.position) for r in second}) == len(second) == 80
 
 
+@pytest.mark.parametrize("size", [0, 3, 5000, 200_000])
+def test_bitmaps(size):
+    """AND and AND-NOT of compressed bitmaps equal those of sets, listed and packed containers mixed."""
+    rng = np.random.default_rng(size)
+    a, b = (np.unique(rng.integers(0, 300_000, n)) for n in (size, 20_000))
+    x, y = snapshots.Bitmap.of(a[::-1].copy()), snapshots.Bitmap.of(b)
+    assert x.positions().tolist() == a.tolist()
+    for mine, other, p, q in ((x, y, a, b), (y, x, b, a)):
+        assert mine.combine(other, True).positions().tolist() == np.intersect1d(p, q).tolist()
+        assert mine.combine(other, False).positions().tolist() == np.setdiff1d(p, q).tolist()
+
+
 def paths(text):
     return [p for _, _, _, p, kind, _ in flatten.parts(text) if kind == "object"]
 
