@@ -196,12 +196,29 @@ def test_leakage_against_brute_force(spark):
 
 
 def test_leakage_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "MAX_ITEMS", 1)
-    ii = spark.createDataFrame([(1, "a b c"), (2, "c d e")], "item_id long, text string")
+    monkeypatch.setattr(leakage, "MAX_WORDS", 3)
+    ii = spark.createDataFrame([(1, "a b c"), (2, "c d e"), (3, None)], "item_id long, text string")
     dd = spark.createDataFrame([(1, "x a b c d e"), (2, "a b")], "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in leakage.leaks(dd, ii).collect()} == {(1, 1), (1, 2)}
 
 
+def test_leakage_of_many_items():
+    """Twenty thousand items are one sparse index of bounded size, searched in one pass."""
+    rng = random.Random(9)
+    words = [f"w{int(50_000 ** rng.random())}" for _ in range(200_000)]
+    items = [(i, " ".join(rng.choices(words, k=40))) for i in range(20_000)]
+    (index,) = leakage.build(items)
+    size = sum(x.nbytes for x in (index.by_item.keys, index.by_item.values, index.by_block.keys, index.by_block.values, index.pivot_blocks, index.pivot_from, *index.words))
+    assert size < 60 * 20_000 * 40
+    docs = [rng.choices(words, k=60) for _ in range(300)]
+    want = set()
+    for d in range(0, 300, 3):
+        k = rng.randrange(20_000)
+        docs[d][20:20] = items[k][1].split()[7:19]
+        want.add((d, k))
+    assert want <= {(d, int(index.items[k])) for d, k, _, _ in leakage.search(index, docs)}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="aB é1.\n\t\xa0　'-,  日", max_size=50))
 def test_token_counts_are_exact(text):
