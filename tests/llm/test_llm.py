@@ -234,6 +234,21 @@ def test_rake():
     assert own["d"] == 0 and (out["weight"] <= out["max_repeats"].fillna(0) + 1e-9).all()
     assert np.allclose(own[["a", "b", "c"]] / own.sum(), np.array([0.5, 0.3, 0.1]) / 0.9)
     assert (mixing.rake(cells, targets.iloc[:0])["weight"] == 0).all()
+    # Wanted shares of languages and topics that the sources and caps allow are reached.
+    free = targets.iloc[:3].assign(max_repeats=9)
+    out = mixing.rake(cells, free, total=1000, marginals={"language": {"de": 0.3}, "topic": {"x": 0.7, "nowhere": 0.5}})
+    mass = out["weight"] * out["tokens"]
+    assert np.isclose(mass[out["language"] == "de"].sum() / mass.sum(), 0.3) and np.isclose(mass.sum(), 1000)
+    assert np.allclose(mass.groupby(out["source"]).sum()[["a", "b", "c"]] / mass.sum(), np.array([0.5, 0.3, 0.1]) / 0.9)
+
+
+def test_mix_reaches_its_targets(spark, sf):
+    """On real documents every source is within half a point of its share, and no document over its cap."""
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs, targets = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "mix_target"))
+    said = mixing.shares(mixing.mix(docs, targets), targets).join(targets.select("source", "max_repeats"), "source").collect()
+    there = sum(r.target_share for r in said if r.tokens)
+    assert all(abs(r.actual_share - r.target_share / there) < 0.005 and r.most_copies <= r.max_repeats for r in said if r.tokens)
 
 
 def test_mix(spark):
