@@ -184,7 +184,7 @@ def mix(
     if len(aims) > MAX_CELLS:
         raise ValueError("too many sources")
     rows = checkpointed(counted(docs.filter(F.col("source").isin(aims["source"].tolist())), tokenizer, pattern, topics_file).filter("tokens > 0"))
-    sized = rows.withColumn("size", F.floor(F.log2(F.col("tokens")) * 32).cast("int"))
+    sized = rows.withColumn("size", F.floor(F.log2(F.col("tokens")) * 8).cast("int"))
     sums = sized.groupBy(*cell, "size").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).limit(MAX_CELLS + 1).toPandas()
     if len(sums) > MAX_CELLS:
         raise ValueError("too many sources, languages and topics")
