@@ -95,6 +95,12 @@ def start_times(requests: DataFrame, host: str, order: list[str], delay_s: str)
     return rows.withColumn("start_s", F.col("__earlier") + F.coalesce(F.sum(delay_s).over(inside), F.lit(0.0))).drop("__earlier", "__part")
 
 
+def event_severity(payload: Column) -> Column:
+    """Severity of an event from its JSON: a recovery, a failure and a reached limit are warnings."""
+    status, recovered = F.get_json_object(payload, "$.status"), F.get_json_object(payload, "$.recovered")
+    return F.when(status.isin("failed", "limit_reached") | F.coalesce(recovered == "true", F.lit(False)), "warning").otherwise("info")
+
+
 def lease(frontier: DataFrame, now: Column, limit: int) -> DataFrame:
     """The next ``limit`` urls to fetch: queued ones and those whose lease is over, by priority, depth and id.
 

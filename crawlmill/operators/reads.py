@@ -64,17 +64,61 @@ def status_class(status: Column) -> Column:
     return F.when(status.isNull(), "none").otherwise(F.concat(F.floor(status / 100).cast("string"), F.lit("xx")))
 
 
-def summary(pages: DataFrame, issues: DataFrame) -> DataFrame:
-    """Counts of a crawl in long form: ``crawl_id, kind, name, n``."""
+def summary(pages: DataFrame, issues: DataFrame, runs: DataFrame | None = None, found: DataFrame | None = None, fetches: DataFrame | None = None) -> DataFrame:
+    """Counts of a crawl in long form: ``crawl_id, kind, name, n``.
+
+    Kinds are responses by class, extraction modes, severities and rules; with the other frames also the crawl's
+    status and the counters of urls discovered, fetched, failed and analysed.
+    """
+    by = lambda df, kind, name: df.groupBy("crawl_id", F.lit(kind).alias("kind"), name.alias("name"))
     parts = [
-        pages.groupBy("crawl_id", F.lit("response").alias("kind"), status_class(F.col("status_code")).alias("name")),
-        pages.groupBy("crawl_id", F.lit("mode").alias("kind"), F.coalesce("extraction_mode", F.lit("none")).alias("name")),
-        issues.groupBy("crawl_id", F.lit("severity").alias("kind"), F.coalesce("severity", F.lit("none")).alias("name")),
-        issues.groupBy("crawl_id", F.lit("rule").alias("kind"), F.coalesce("rule_id", F.lit("none")).alias("name")),
+        by(pages, "response", status_class(F.col("status_code"))),
+        by(pages, "mode", F.coalesce("extraction_mode", F.lit("none"))),
+        by(issues, "severity", F.coalesce("severity", F.lit("none"))),
+        by(issues, "rule", F.coalesce("rule_id", F.lit("none"))),
     ]
+    if runs is not None:
+        parts.append(by(runs, "status", F.coalesce("status", F.lit("none"))))
+    if found is not None:
+        parts.append(by(found, "counter", F.lit("discovered")))
+    if fetches is not None:
+        status = F.coalesce("status_code", F.lit(0))
+        parts += [by(fetches, "counter", F.lit("fetched")), by(fetches.filter((status < 200) | (status >= 400)), "counter", F.lit("failed")), by(pages, "counter", F.lit("analysed"))]
     return reduce(DataFrame.unionByName, [p.agg(F.count(F.lit(1)).alias("n")) for p in parts])
 
 
+MOST_LINKS, MOST_PARTS = 10_000, 1000
+
+
+def page_detail(pages: DataFrame, links: DataFrame, data: DataFrame, issues: DataFrame, modes: DataFrame, fields: list[str]) -> DataFrame:
+    """Nested document of every page: ``pages`` plus lists of its parts, each in order of ids.
+
+    ``outlinks`` and ``inlinks`` hold the first ``MOST_LINKS`` links each, ``structured_data`` and ``issues`` the first
+    ``MOST_PARTS``: a page that a third of all links lead to gathers no more than these, which are chosen before
+    anything is gathered. ``render_differences`` names the ``fields`` in which the rendered form of a url (``modes``:
+    one row per crawl, url and extraction mode) differs from the raw one; null where it wasn't rendered.
+    """
+
+    def first(rows: DataFrame, keys: list[str], order: str, most: int, name: str) -> DataFrame:
+        kept = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("__n") <= most).drop("__n")
+        rest = [order, *[c for c in rows.columns if c not in (*keys, order)]]
+        return kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
+
+    at = ["crawl_id", "url"]
+    ends = [("outlinks", "source_url", "target_url"), ("inlinks", "target_url", "source_url")]
+    out = pages
+    for name, own, other in ends:
+        rows = links.filter(F.col(own).isNotNull()).select("crawl_id", F.col(own).alias("url"), "link_id", other, "anchor_text", "rel", "kind")
+        out = out.join(first(rows, at, "link_id", MOST_LINKS, name), at, "left")
+    found = issues.filter("subject_type = 'page' and rule_id is not null").select(F.col("subject_id").try_cast("long").alias("page_id"), "issue_id", "rule_id", "severity", "classification", "evidence_json")
+    out = out.join(first(data, ["page_id"], "structured_data_id", MOST_PARTS, "structured_data"), "page_id", "left")
+    out = out.join(first(found, ["page_id"], "issue_id", MOST_PARTS, "issues"), "page_id", "left")
+    form = lambda mode, mark: modes.filter(F.col("extraction_mode") == mode).select(*at, *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"{mark}_{f}") for f in fields])
+    both = form("raw", "a").join(form("rendered", "b"), at)
+    each = F.array(*[F.when(F.col(f"a_{f}") != F.col(f"b_{f}"), F.struct(F.lit(f).alias("field"), F.col(f"a_{f}").alias("raw"), F.col(f"b_{f}").alias("rendered"))) for f in fields])
+    return out.join(both.select(*at, F.filter(each, lambda x: x.isNotNull()).alias("render_differences")), at, "left")
+
+
 def compare(before: DataFrame, after: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """``added``, ``removed`` and ``changed`` rows between two sets, nulls equal to empty: one full outer join."""
     said = lambda df, mark: df.select(*keys, F.struct(*[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields]).alias(mark))
@@ -165,21 +209,60 @@ def segments(rows: DataFrame, scope: str, key: str, size: int) -> DataFrame:
 
 
 def scorecard(observed: DataFrame, expected: DataFrame, case: str) -> DataFrame:
-    """True and false positives and misses per rule: equal findings of a case are paired one to one.
+    """True and false positives and misses per rule, with precision and recall.
 
-    Both have ``case, rule_id, message, severity, classification``; of ``a`` equal observed and ``e`` equal
-    expected findings the smaller number match.
+    Both have ``case, rule_id, message, severity, classification, evidence`` (a map of texts, or its JSON). Of each
+    case the expected findings are taken in order of their texts; each is paired with the first observed one not yet
+    used that has its rule, its message, severity and class where it names them, and its evidence among its own. A
+    case's findings, which its checks bound, are the only ones brought together. Repeated rows count each.
     """
-    keys = [case, "rule_id", "message", "severity", "classification"]
-    a, e = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for df, n in ((observed, "seen"), (expected, "wanted")))
-    both = a.join(e, keys, "full_outer").na.fill(0, ["seen", "wanted"])
-    hit = F.least("seen", "wanted")
-    out = both.groupBy("rule_id").agg(F.sum(hit).alias("true_positives"), F.sum(F.col("seen") - hit).alias("false_positives"), F.sum(F.col("wanted") - hit).alias("false_negatives"))
+    fields = ("rule_id", "message", "severity", "classification")
+
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        evidence = F.lit(None).cast("map<string,string>")
+        if "evidence" in df.columns:
+            evidence = F.col("evidence") if df.schema["evidence"].dataType.typeName() == "map" else F.from_json("evidence", "map<string,string>")
+        said = [F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields]
+        pairs = F.array_sort(F.map_entries(F.coalesce(evidence, F.create_map().cast("map<string,string>")))).alias("evidence")
+        return df.select(case, F.struct(*said, pairs).alias("f")).groupBy(case).agg(F.array_sort(F.collect_list("f")).alias(name))
+
+    both = listed(observed, "seen").join(listed(expected, "wanted"), case, "full_outer")
+    kind = "array<struct<rule_id:string,message:string,severity:string,classification:string,evidence:array<struct<key:string,value:string>>>>"
+    both = both.select(case, *[F.coalesce(c, F.array().cast(kind)).alias(c) for c in ("seen", "wanted")])
+
+    def fits(e: Column, o: Column) -> Column:
+        same = e["rule_id"] == o["rule_id"]
+        for f in fields[1:]:
+            same = same & ((e[f] == "") | (e[f] == o[f]))
+        return same & (F.size(F.array_except(e["evidence"], o["evidence"])) == 0)
+
+    def pair(used: Column, e: Column) -> Column:
+        free = F.filter(F.sequence(F.lit(0), F.size("seen") - 1), lambda i: ~F.array_contains(used, i) & fits(e, F.get("seen", i)))
+        return F.concat(used, F.array(F.when(F.size("seen") > 0, F.coalesce(F.get(free, F.lit(0)), F.lit(-1))).otherwise(-1)))
+
+    matched = both.withColumn("pairs", F.aggregate("wanted", F.array().cast("array<int>"), pair))
+    of = lambda rows, mark: rows.select("rule_id", *[F.lit(int(m == mark)).alias(m) for m in ("t", "f", "n")])
+    hits = matched.select(F.explode(F.arrays_zip("wanted", "pairs")).alias("z")).select(F.col("z.wanted.rule_id").alias("rule_id"), F.col("z.pairs").alias("p"))
+    rest = matched.select("pairs", F.posexplode("seen").alias("i", "o")).filter(~F.array_contains("pairs", F.col("i"))).select(F.col("o.rule_id").alias("rule_id"))
+    every = of(hits.filter("p >= 0"), "t").unionByName(of(hits.filter("p < 0"), "n")).unionByName(of(rest, "f"))
+    out = every.groupBy("rule_id").agg(F.sum("t").alias("true_positives"), F.sum("f").alias("false_positives"), F.sum("n").alias("false_negatives"))
     ratio = lambda n, d: F.when(d == 0, F.lit(1.0)).otherwise(n / d)
     t = F.col("true_positives")
     return out.withColumns({"precision": ratio(t, t + F.col("false_positives")), "recall": ratio(t, t + F.col("false_negatives"))})
 
 
+def coverage(catalog: DataFrame, positive: DataFrame, controls: DataFrame) -> DataFrame:
+    """Rules by how cases cover them: ``rule_id, positive_cases, control_cases, status``.
+
+    ``catalog`` lists the rules, ``positive`` and ``controls`` have ``case_id, rule_id``: cases that expect a finding of the
+    rule, and cases that must have none. ``baseline`` has both, ``partial`` one, ``missing`` none.
+    """
+    count = lambda df, name: df.groupBy("rule_id").agg(F.countDistinct("case_id").alias(name))
+    rows = catalog.select("rule_id").distinct().join(count(positive, "positive_cases"), "rule_id", "left").join(count(controls, "control_cases"), "rule_id", "left").na.fill(0)
+    some = [F.col(c) > 0 for c in ("positive_cases", "control_cases")]
+    return rows.withColumn("status", F.when(some[0] & some[1], "baseline").when(some[0] | some[1], "partial").otherwise("missing"))
+
+
 def projected_storage(storage: Column, done: Column, total: Column) -> Column:
     """Bytes expected at the end: storage times total over done, rounded up, at most the largest long."""
     most = F.lit(2**63 - 1).cast("decimal(38,0)")

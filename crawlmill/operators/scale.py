@@ -9,17 +9,25 @@ from crawlmill.session import checkpointed
 
 HOT_CLASSES = 1000  # rows of a broadcast list of the largest classes: its proven size bound
 SALTS = 64
+SMALL_BYTES = 8_000_000
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, payload: list[str], spread_by: Column) -> DataFrame:
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, payload: list[str], spread_by: Column, measure: bool = False) -> DataFrame:
     """Inner join of many ``rows`` to one row per class, without a hot class landing in one task.
 
     The ``HOT_CLASSES`` largest classes by column ``size`` are broadcast (at most that many rows, whatever the
     data), so a class outside that list holds at most 1/1000 of all rows. Rows of hot classes take their
     payload from the broadcast and carry a salt from ``spread_by`` (deterministic, so a repeated task gives the
     same rows) that spreads them evenly over the tasks of the second join, which serves the other classes.
-    ``keys`` must not be null. Rows without a class are dropped; repeated rows stay repeated.
+    ``keys`` must not be null. Rows without a class are dropped; repeated rows stay repeated. Where few classes may
+    be left, ``measure`` writes them down and measures them first: if they are no larger than ``SMALL_BYTES`` all of
+    them are broadcast, and the rows are not moved.
     """
+    if measure:
+        classes = checkpointed(classes.select(*keys, *{size, *payload}))
+        length = sum((F.octet_length(F.col(k).cast("string")) for k in keys), F.lit(16 + 16 * len(payload)))
+        if (classes.agg(F.sum(length)).first()[0] or 0) <= SMALL_BYTES:
+            return rows.join(F.broadcast(classes.select(*keys, *payload)), keys).select(*rows.columns, *payload)
     hot = classes.orderBy(F.desc(size), *keys).limit(HOT_CLASSES)
     hot = hot.select(*keys, *[F.col(c).alias(f"__hot_{c}") for c in payload], F.lit(True).alias("__hot"))
     marked = rows.join(F.broadcast(hot), keys, "left")

@@ -11,6 +11,7 @@ from crawlmill.functions import html, text, urls
 from crawlmill.functions.robots import robots_decisions
 from crawlmill.operators import audits, graph, neardup, reads, rules
 from crawlmill.sources import evidence as ev
+from crawlmill.sources import metrics
 from crawlmill.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,7 +286,7 @@ def _duplicates_sql(field: str) -> str:
       SELECT crawl_id, page_id, {field}, count(*) OVER (PARTITION BY crawl_id, {field}) AS n FROM page WHERE trim(coalesce({field}, '')) <> '') WHERE n > 1"""
 
 
-for _name, _field in (("gr_duplicate_titles", "title"), ("gr_duplicate_descriptions", "meta_description"), ("gr_exact_duplicates", "content_hash")):
+for _name, _field in (("gr_duplicate_titles", "title"), ("gr_duplicate_descriptions", "meta_description")):
     query(_name, _duplicates_sql(_field))(lambda spark, sf, f=_field: graph.duplicates(ev.pages(spark, sf, "page_id", f), f))
 
 
@@ -323,12 +324,6 @@ def gr_sitemap_bad(spark: SparkSession, sf: str) -> DataFrame:
     return graph.bad_sitemap_entries(ev.pages(spark, sf, "status_code", "robots_directives"), ev.discovered(spark, sf))
 
 
-@query("gr_robots_blocked", "SELECT DISTINCT case_id, path FROM fixture_case WHERE robots_blocked")
-def gr_robots_blocked(spark: SparkSession, sf: str) -> DataFrame:
-    """Cases robots rules refuse."""
-    return table(spark, sf, "fixture_case", "case_id", "path", "robots_blocked").filter("robots_blocked").select("case_id", "path").distinct()
-
-
 @query("gr_deep", WITH + "SELECT crawl_id, page_id, depth FROM page WHERE depth > 4")
 def gr_deep(spark: SparkSession, sf: str) -> DataFrame:
     """Pages deeper than the threshold."""
@@ -351,12 +346,6 @@ def gr_nofollow(spark: SparkSession, sf: str) -> DataFrame:
     return graph.nofollow_links(ev.pages(spark, sf, "page_id"), ev.links(spark, sf, "source_url", "rel", "kind"))
 
 
-@query("gr_finalize")
-def gr_finalize(spark: SparkSession, sf: str) -> DataFrame:
-    """All whole-site findings in one frame."""
-    return graph.finalize(ev.pages(spark, sf), ev.links(spark, sf), ev.discovered(spark, sf))
-
-
 def _issues(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
     return table(spark, sf, "issue").dropDuplicates(["issue_id"]).select(*fields) if fields else table(spark, sf, "issue").dropDuplicates(["issue_id"])
 
@@ -384,14 +373,23 @@ def gr_provenance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "q_summary",
-    WITH + """SELECT crawl_id, 'response' AS kind, CASE WHEN status_code IS NULL THEN 'none' ELSE CAST(status_code // 100 AS VARCHAR) || 'xx' END AS name, count(*) AS n FROM page GROUP BY ALL
+    WITH + """, i AS (SELECT DISTINCT * FROM issue), got AS (SELECT DISTINCT fetch_id, crawl_id, status_code FROM fetch_result)
+      SELECT crawl_id, 'response' AS kind, CASE WHEN status_code IS NULL THEN 'none' ELSE CAST(status_code // 100 AS VARCHAR) || 'xx' END AS name, count(*) AS n FROM page GROUP BY ALL
       UNION ALL SELECT crawl_id, 'mode', coalesce(extraction_mode, 'none'), count(*) FROM page GROUP BY ALL
-      UNION ALL SELECT crawl_id, 'severity', coalesce(severity, 'none'), count(*) FROM (SELECT DISTINCT * FROM issue) GROUP BY ALL
-      UNION ALL SELECT crawl_id, 'rule', coalesce(rule_id, 'none'), count(*) FROM (SELECT DISTINCT * FROM issue) GROUP BY ALL""",
+      UNION ALL SELECT crawl_id, 'severity', coalesce(severity, 'none'), count(*) FROM i GROUP BY ALL
+      UNION ALL SELECT crawl_id, 'rule', coalesce(rule_id, 'none'), count(*) FROM i GROUP BY ALL
+      UNION ALL SELECT DISTINCT crawl_id, 'status', coalesce(status, 'none'), 1 FROM crawl_run
+      UNION ALL SELECT crawl_id, 'counter', 'discovered', count(*) FROM found GROUP BY ALL
+      UNION ALL SELECT crawl_id, 'counter', 'fetched', count(*) FROM got GROUP BY ALL
+      UNION ALL SELECT crawl_id, 'counter', 'failed', count(*) FROM got WHERE coalesce(status_code, 0) < 200 OR status_code >= 400 GROUP BY ALL
+      UNION ALL SELECT crawl_id, 'counter', 'analysed', count(*) FROM page GROUP BY ALL""",
 )
 def q_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Responses, modes, severities and rules of every crawl."""
-    return reads.summary(ev.pages(spark, sf, "status_code", "extraction_mode"), _issues(spark, sf, "crawl_id", "severity", "rule_id"))
+    """Status, counters, responses, modes, severities and rules of every crawl."""
+    runs = table(spark, sf, "crawl_run", "crawl_id", "status").distinct()
+    fetches = table(spark, sf, "fetch_result", "fetch_id", "crawl_id", "status_code").distinct()
+    pages = ev.pages(spark, sf, "status_code", "extraction_mode")
+    return reads.summary(pages, _issues(spark, sf, "crawl_id", "severity", "rule_id"), runs, ev.discovered(spark, sf), fetches)
 
 
 @query("q_issue_list", "SELECT issue_id, crawl_id, rule_id, severity FROM (SELECT DISTINCT * FROM issue) WHERE severity = 'error' AND contains(lower(evidence_json), 'shop_50%') = false AND contains(lower(evidence_json), 'hops') ORDER BY issue_id LIMIT 101")
@@ -421,15 +419,35 @@ def q_link_list(spark: SparkSession, sf: str) -> DataFrame:
     return reads.keyset(ev.links(spark, sf, "source_url", "target_url", "kind"), "link_id", limit=1000).select("link_id", "crawl_id", "source_url", "target_url", "kind")
 
 
-@query("q_page_detail")
+@query(
+    "q_page_detail",
+    WITH + """, o AS (SELECT crawl_id, source_url AS url, string_agg(CAST(link_id AS VARCHAR), ' ' ORDER BY link_id) AS ids FROM
+        (SELECT * FROM link WHERE source_url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY crawl_id, source_url ORDER BY link_id) <= 10000) GROUP BY ALL),
+      n AS (SELECT crawl_id, target_url AS url, string_agg(CAST(link_id AS VARCHAR), ' ' ORDER BY link_id) AS ids FROM
+        (SELECT * FROM link WHERE target_url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY crawl_id, target_url ORDER BY link_id) <= 10000) GROUP BY ALL),
+      s AS (SELECT page_id, string_agg(coalesce(format, '') || ':' || coalesce(type_summary, ''), ' ' ORDER BY structured_data_id) AS said FROM (SELECT DISTINCT structured_data_id, page_id, format, type_summary FROM structured_data) GROUP BY page_id),
+      x AS (SELECT TRY_CAST(subject_id AS BIGINT) AS page_id, string_agg(rule_id || ':' || coalesce(severity, ''), ' ' ORDER BY issue_id) AS said FROM (SELECT DISTINCT * FROM issue) WHERE subject_type = 'page' AND rule_id IS NOT NULL GROUP BY 1),
+      m AS (SELECT * FROM page_record QUALIFY row_number() OVER (PARTITION BY crawl_id, url, extraction_mode ORDER BY extracted_at DESC, page_id DESC) = 1),
+      d AS (SELECT a.crawl_id, a.url, concat_ws(' ', CASE WHEN coalesce(a.title, '') <> coalesce(b.title, '') THEN 'title' END, CASE WHEN coalesce(a.meta_description, '') <> coalesce(b.meta_description, '') THEN 'meta_description' END,
+          CASE WHEN coalesce(a.canonical_url, '') <> coalesce(b.canonical_url, '') THEN 'canonical_url' END, CASE WHEN coalesce(a.content_hash, '') <> coalesce(b.content_hash, '') THEN 'content_hash' END) AS differs
+        FROM m a JOIN m b ON a.crawl_id = b.crawl_id AND a.url = b.url WHERE a.extraction_mode = 'raw' AND b.extraction_mode = 'rendered')
+      SELECT p.crawl_id, p.page_id, p.url, p.title, p.status_code, coalesce(o.ids, '') AS outlinks, coalesce(n.ids, '') AS inlinks, coalesce(s.said, '') AS structured_data, coalesce(x.said, '') AS issues, d.differs AS render_differences
+      FROM page p LEFT JOIN o USING (crawl_id, url) LEFT JOIN n USING (crawl_id, url) LEFT JOIN s ON s.page_id = p.page_id LEFT JOIN x ON x.page_id = p.page_id LEFT JOIN d ON d.crawl_id = p.crawl_id AND d.url = p.url""",
+)
 def q_page_detail(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages with their structured data and issues nested."""
-    pages = ev.pages(spark, sf, "page_id", "title", "status_code")
+    """Every page with its links both ways, structured data, issues and differences of its rendered form, in short texts."""
+    fields = ("title", "meta_description", "canonical_url", "content_hash")
+    modes = table(spark, sf, "page_record", "crawl_id", "url", "page_id", "extracted_at", "extraction_mode", *fields)
+    modes = modes.groupBy("crawl_id", "url", "extraction_mode").agg(F.max_by(F.struct(*fields), F.struct("extracted_at", "page_id")).alias("p")).select("crawl_id", "url", "extraction_mode", "p.*")
     data = table(spark, sf, "structured_data", "structured_data_id", "page_id", "format", "type_summary").distinct()
-    data = data.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("structured_data_id", "format", "type_summary"))).alias("structured_data"))
-    issues = _issues(spark, sf).filter("subject_type = 'page'").select(F.col("subject_id").try_cast("long").alias("page_id"), "issue_id", "rule_id", "severity")
-    issues = issues.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("issue_id", "rule_id", "severity"))).alias("issues"))
-    return pages.join(data, "page_id", "left").join(issues, "page_id", "left")
+    full = reads.page_detail(ev.pages(spark, sf, "page_id", "title", "status_code"), ev.links(spark, sf), data, _issues(spark, sf), modes, list(fields))
+    short = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), " "), F.lit(""))
+    pair = lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.lit(":"), F.coalesce(b, F.lit("")))
+    return full.select(
+        "crawl_id", "page_id", "url", "title", "status_code", short("outlinks", lambda x: x["link_id"].cast("string")).alias("outlinks"), short("inlinks", lambda x: x["link_id"].cast("string")).alias("inlinks"),
+        short("structured_data", lambda x: pair(x["format"], x["type_summary"])).alias("structured_data"), short("issues", lambda x: pair(x["rule_id"], x["severity"])).alias("issues"),
+        F.when(F.col("render_differences").isNotNull(), short("render_differences", lambda x: x["field"])).alias("render_differences"),
+    )
 
 
 _PAIRS = """r AS (SELECT crawl_id, lead(crawl_id) OVER (PARTITION BY project_id ORDER BY started_at, crawl_id) AS next_id FROM (SELECT DISTINCT crawl_id, project_id, started_at FROM crawl_run)),
@@ -601,13 +619,20 @@ def q_conformance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "q_coverage",
-    """SELECT rule_id, count(DISTINCT case_id) AS positive_cases, count(DISTINCT severity) AS severities, array_to_string(list_sort(list_distinct(list(severity))), ',') AS severity_set
-      FROM (SELECT case_id, unnest(expected_findings, recursive := true) FROM (SELECT DISTINCT case_id, expected_findings FROM fixture_case)) GROUP BY rule_id""",
+    """WITH c AS (SELECT DISTINCT case_id, expected_findings FROM fixture_case), e AS (SELECT case_id, unnest(expected_findings, recursive := true) FROM c),
+      k AS (SELECT 'AUD-' || lpad(CAST(i AS VARCHAR), 2, '0') AS rule_id FROM range(1, 21) t(i)), a AS (SELECT count(*) AS controls FROM c WHERE len(expected_findings) = 0),
+      q AS (SELECT rule_id, count(DISTINCT case_id) AS n FROM e GROUP BY rule_id)
+      SELECT k.rule_id, coalesce(q.n, 0) AS positive_cases, a.controls AS control_cases, CASE WHEN q.n > 0 AND a.controls > 0 THEN 'baseline' WHEN q.n > 0 OR a.controls > 0 THEN 'partial' ELSE 'missing' END AS status
+      FROM k CROSS JOIN a LEFT JOIN q USING (rule_id)""",
 )
 def q_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Cases and severities that cover each rule."""
-    expected = table(spark, sf, "fixture_case", "case_id", "expected_findings").dropDuplicates(["case_id"]).select("case_id", F.inline("expected_findings"))
-    return expected.groupBy("rule_id").agg(F.countDistinct("case_id").alias("positive_cases"), F.countDistinct("severity").alias("severities"), F.array_join(F.sort_array(F.collect_set("severity")), ",").alias("severity_set"))
+    """Which rules the cases cover: cases that expect a finding, and cases without any as controls."""
+    cases = table(spark, sf, "fixture_case", "case_id", "expected_findings").dropDuplicates(["case_id"])
+    known = [f"AUD-{i:02}" for i in range(1, 21)]
+    # A case without findings is a control of every rule.
+    clean = cases.filter(F.size("expected_findings") == 0).select("case_id", F.explode(F.array(*map(F.lit, known))).alias("rule_id"))
+    catalog = spark.createDataFrame([(k,) for k in known], "rule_id string")
+    return reads.coverage(catalog, cases.select("case_id", F.inline("expected_findings")), clean)
 
 
 # Declarative extractions.
@@ -648,3 +673,47 @@ def src_field_metrics(spark: SparkSession, sf: str) -> DataFrame:
     parsed = rows.select("observation_id", F.from_json("result", "metrics map<string, struct<percentiles: struct<p75: string>, histogram: array<string>>>").alias("m"))
     out = parsed.select("observation_id", F.explode("m.metrics").alias("metric", "v"))
     return out.select("observation_id", "metric", F.col("v.percentiles.p75").alias("p75"), F.when(F.col("v.histogram").isNotNull(), F.size("v.histogram")).cast("long").alias("bins"))
+
+
+_OBSERVED = """o AS (SELECT DISTINCT observation_id, provider, result FROM integration_observation),
+  v AS (SELECT observation_id, provider, CASE WHEN json_type(result::JSON) = 'VARCHAR' THEN result::JSON->>'$' ELSE result END AS j FROM o WHERE json_valid(result)),
+  j AS (SELECT observation_id, provider, j::JSON AS j FROM v WHERE json_valid(j) AND json_type(j::JSON) = 'OBJECT')"""
+
+
+@query(
+    "src_lab_scores",
+    f"""WITH {_OBSERVED}, k AS (SELECT observation_id, j, 'score' AS kind, unnest(json_keys(j, '$.scores')) AS name FROM j WHERE provider = 'pagespeed-insights' AND json_type(j, '$.scores') = 'OBJECT'
+      UNION ALL SELECT observation_id, j, 'metric', unnest(json_keys(j, '$.metrics')) FROM j WHERE provider = 'pagespeed-insights' AND json_type(j, '$.metrics') = 'OBJECT')
+      SELECT observation_id, json_extract_string(j, '$.requested_url') AS requested_url, json_extract_string(j, '$.strategy') AS strategy, kind, name,
+        TRY_CAST(json_extract_string(j, '$.' || kind || 's."' || name || '"') AS DOUBLE) AS value FROM k""",
+)
+def src_lab_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores and metrics of lab observations, one row each."""
+    return metrics.lab(_observed(spark, sf, "pagespeed-insights"))
+
+
+@query(
+    "src_search_rows",
+    f"""WITH {_OBSERVED}, r AS (SELECT observation_id, unnest(range(0, CAST(json_array_length(j, '$.rows') AS BIGINT))) AS position, j FROM j WHERE provider = 'google-search-console' AND json_type(j, '$.rows') = 'ARRAY'),
+      s AS (SELECT observation_id, position, json_extract(j, '$.rows[' || position || ']') AS r FROM r)
+      SELECT observation_id, CAST(position AS INTEGER) AS position, json_extract_string(r, '$.keys[0]') AS search_text, json_extract_string(r, '$.keys[1]') AS page, TRY_CAST(json_extract_string(r, '$.clicks') AS DOUBLE) AS clicks,
+        TRY_CAST(json_extract_string(r, '$.impressions') AS DOUBLE) AS impressions, TRY_CAST(json_extract_string(r, '$.ctr') AS DOUBLE) AS ctr, TRY_CAST(json_extract_string(r, '$.position') AS DOUBLE) AS rank FROM s""",
+)
+def src_search_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Search performance rows of the observations, one row each."""
+    return metrics.search(_observed(spark, sf, "google-search-console"))
+
+
+@query(
+    "src_analytics_rows",
+    f"""WITH {_OBSERVED}, r AS (SELECT observation_id, unnest(range(0, CAST(json_array_length(j, '$.rows') AS BIGINT))) AS position, j FROM j WHERE provider = 'google-analytics-4' AND json_type(j, '$.rows') = 'ARRAY'),
+      s AS (SELECT observation_id, position, json_extract_string(j, '$.property_id') AS property_id, json_extract(j, '$.rows[' || position || ']') AS r FROM r), k AS (SELECT *, unnest(json_keys(r)) AS name FROM s WHERE json_type(r) = 'OBJECT')
+      SELECT observation_id, property_id, CAST(position AS INTEGER) AS position, name, json_extract_string(r, '$."' || name || '"') AS value FROM k""",
+)
+def src_analytics_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Analytics rows of the observations in long form, one row per dimension or metric."""
+    return metrics.analytics(_observed(spark, sf, "google-analytics-4"))
+
+
+def _observed(spark: SparkSession, sf: str, provider: str) -> DataFrame:
+    return table(spark, sf, "integration_observation", "observation_id", "provider", "result").filter(F.col("provider") == provider).select("observation_id", "result").distinct()

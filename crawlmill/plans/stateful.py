@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlmill.operators import frontier, graph
+from crawlmill.plans import roles, site
 from crawlmill.plans.site import Query
 from crawlmill.sources import evidence as ev
 from crawlmill.sources import exports
@@ -85,57 +86,141 @@ def st_host_politeness(spark: SparkSession, sf: str) -> DataFrame:
     return frontier.start_times(rows, "user_id", ["ts", "event_id"], "value").select("event_id", F.round("start_s", 3).alias("start_s"))
 
 
-@query("q_event_severity", "SELECT event_id, CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) % 10 = 0 THEN 'warning' ELSE 'info' END AS severity FROM events")
+@query(
+    "q_event_severity",
+    """WITH r AS (SELECT DISTINCT crawl_id, status, finished_at FROM crawl_run)
+      SELECT crawl_id, CASE WHEN status IN ('failed', 'limit_reached') OR finished_at IS NULL THEN 'warning' ELSE 'info' END AS severity FROM r""",
+)
 def q_event_severity(spark: SparkSession, sf: str) -> DataFrame:
-    """Severity of events from a member of their JSON."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf, "events", "event_id", "props").select("event_id", F.when(k % 10 == 0, "warning").otherwise("info").alias("severity"))
+    """Severity of the last event of every crawl, written as an event log writes it; a crawl without an end was recovered."""
+    runs = table(spark, sf, "crawl_run", "crawl_id", "status", "finished_at").distinct()
+    said = F.to_json(F.struct(F.col("status"), F.when(F.col("finished_at").isNull(), True).alias("recovered")))
+    return runs.select("crawl_id", frontier.event_severity(said).alias("severity"))
+
+
+@query(
+    "st_lease",
+    """WITH d AS (SELECT DISTINCT crawl_id, crawl_url_id, url, depth, discovery_kind FROM discovery)
+      SELECT crawl_url_id, url, depth FROM d WHERE NOT EXISTS (SELECT 1 FROM page_record p WHERE p.crawl_id = d.crawl_id AND p.url = d.url)
+      ORDER BY CASE discovery_kind WHEN 'seed' THEN 2 WHEN 'sitemap' THEN 1 ELSE 0 END DESC, coalesce(depth, 0), crawl_url_id LIMIT 1000""",
+)
+def st_lease(spark: SparkSession, sf: str) -> DataFrame:
+    """The next thousand urls to fetch: those not extracted yet, seeds and sitemap entries first."""
+    kind = F.col("discovery_kind")
+    done = table(spark, sf, "page_record", "crawl_id", "url").distinct()
+    open_ = ev.discovered(spark, sf).join(done, ["crawl_id", "url"], "left_anti")
+    rows = open_.withColumns({"state": F.lit("queued"), "lease_until": F.lit(None).cast("timestamp"), "priority": F.when(kind == "seed", 2).when(kind == "sitemap", 1).otherwise(0)})
+    return frontier.lease(rows, F.current_timestamp(), 1000).select("crawl_url_id", "url", "depth")
+
 
+# Whole-site rules over role-played evidence, and all of them together.
+_ROLE = "WITH " + roles.sql()
 
-# Role-played evidence for what the delivered tables lack: alternates, images and sitemap files.
-_EV = """ev_url AS (SELECT p_partkey AS url_id, 'https://shop.example/' || replace(lower(p_brand), '#', '-') || '/' || CAST(p_partkey AS VARCHAR(20)) AS request_key FROM part),
-  ev_page AS (SELECT p_partkey AS page_id, request_key FROM part JOIN ev_url ON url_id = p_partkey WHERE p_partkey % 10 <> 3 AND p_partkey % 17 <> 0),
-  ev_hreflang AS (SELECT pg.page_id, CASE WHEN pg.page_id % 2 = 1 THEN 'de' ELSE 'en-GB' END AS language_code, u.request_key AS target_url FROM ev_page pg
-    JOIN ev_url u ON u.url_id = CASE WHEN pg.page_id % 2 = 1 THEN pg.page_id + 1 ELSE pg.page_id - 1 END WHERE pg.page_id % 2 = 1 OR pg.page_id % 4 = 0)"""
 
+def _role(spark: SparkSession, sf: str, *names: str) -> list[DataFrame]:
+    return [roles.role(spark, sf, f"r_{n}") for n in names]
 
-def _role(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    part = table(spark, sf, "part", "p_partkey", "p_brand")
-    key = F.col("p_partkey")
-    url = part.select(key.alias("url_id"), F.concat(F.lit("https://shop.example/"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-")), F.lit("/"), key.cast("string")).alias("request_key"))
-    page = url.filter("url_id % 10 <> 3 and url_id % 17 <> 0").withColumnRenamed("url_id", "page_id")
-    other = F.when(F.col("page_id") % 2 == 1, F.col("page_id") + 1).otherwise(F.col("page_id") - 1)
-    alternates = page.filter("page_id % 2 = 1 or page_id % 4 = 0").select("page_id", F.when(F.col("page_id") % 2 == 1, "de").otherwise("en-GB").alias("language_code"), other.alias("url_id"))
-    return page, alternates.join(url.withColumnRenamed("request_key", "target_url"), "url_id").drop("url_id")
+
+@query("gr_exact_duplicates", _ROLE + " SELECT page_id, content_hash AS value, n - 1 AS copies FROM (SELECT *, count(*) OVER (PARTITION BY crawl_id, content_hash) AS n FROM r_page WHERE content_hash <> '') WHERE n > 1")
+def gr_exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of equal content, with the number of others."""
+    (pages,) = _role(spark, sf, "page")
+    return graph.duplicates(pages, "content_hash").select("page_id", "value", (F.col("duplicate_count") - 1).alias("copies"))
 
 
 @query(
     "gr_hreflang",
-    f"""WITH {_EV} SELECT h.page_id, h.language_code, h.target_url FROM ev_hreflang h JOIN ev_page s ON s.page_id = h.page_id LEFT JOIN ev_page t ON t.request_key = h.target_url
-      WHERE t.page_id IS NULL OR NOT EXISTS (SELECT 1 FROM ev_hreflang b WHERE b.page_id = t.page_id AND b.target_url = s.request_key)""",
-)
+    _ROLE + """ SELECT h.page_id, h.language_code, h.target_url FROM r_hreflang h JOIN r_page s ON s.page_id = h.page_id LEFT JOIN r_page t ON t.url = h.target_url
+      WHERE t.page_id IS NULL OR NOT EXISTS (SELECT 1 FROM r_hreflang b WHERE b.page_id = t.page_id AND b.target_url = s.url)""",
+)
 def gr_hreflang(spark: SparkSession, sf: str) -> DataFrame:
     """Language alternates that are not returned."""
-    return graph.hreflang_without_return(*_role(spark, sf))
+    return graph.hreflang_without_return(*_role(spark, sf, "page", "hreflang")).drop("crawl_id")
 
 
-@query(
-    "gr_image_fail",
-    """SELECT s_suppkey AS image_id, CAST(count(DISTINCT l_partkey) AS BIGINT) AS pages FROM supplier JOIN lineitem ON l_suppkey = s_suppkey
-      WHERE s_suppkey % 29 = 0 OR s_suppkey % 17 = 0 GROUP BY s_suppkey""",
-)
+_IMAGES = """SELECT i.crawl_id, i.image_id, coalesce(u.status_code, 0) AS status_code FROM r_image i LEFT JOIN r_url u ON u.url = i.url
+      WHERE EXISTS (SELECT 1 FROM r_shown s JOIN r_page p ON p.page_id = s.page_id WHERE s.image_id = i.image_id) AND (u.state IS NULL OR u.state = 'failed' OR u.status_code >= 400)"""
+
+
+@query("gr_image_fail", f"{_ROLE} {_IMAGES}")
 def gr_image_fail(spark: SparkSession, sf: str) -> DataFrame:
-    """Failing images with the number of pages that show them; pages and images are paired once first."""
-    images = table(spark, sf, "supplier", "s_suppkey").filter("s_suppkey % 29 = 0 or s_suppkey % 17 = 0")
-    shown = table(spark, sf, "lineitem", "l_partkey", "l_suppkey").distinct()
-    return shown.join(images, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_suppkey").alias("image_id")).agg(F.count(F.lit(1)).alias("pages"))
+    """Images of extracted pages whose fetch failed."""
+    return graph.failing_images(*_role(spark, sf, "image", "shown", "page", "url"))
 
 
-@query("gr_sitemap_failed", "SELECT r_regionkey AS sitemap_id, 'http_500' AS status FROM region WHERE r_regionkey = 2")
+@query("gr_sitemap_failed", _ROLE + " SELECT sitemap_id, status FROM r_sitemap WHERE status <> 'ok'")
 def gr_sitemap_failed(spark: SparkSession, sf: str) -> DataFrame:
     """Sitemap files that could not be read."""
-    status = F.when(F.col("r_regionkey") == 2, "http_500").otherwise("ok")
-    return table(spark, sf, "region", "r_regionkey").select(F.col("r_regionkey").alias("sitemap_id"), status.alias("status")).filter("status <> 'ok'")
+    return graph.failed_sitemaps(*_role(spark, sf, "sitemap")).drop("crawl_id")
+
+
+@query("gr_robots_blocked", _ROLE + " SELECT crawl_url_id, url FROM r_url WHERE robots_decision = 'disallowed'")
+def gr_robots_blocked(spark: SparkSession, sf: str) -> DataFrame:
+    """Urls robots rules refuse."""
+    return graph.robots_blocked(*_role(spark, sf, "url")).drop("crawl_id")
+
+
+def _finalize_sql() -> str:
+    """All findings in SQL: the rules of both sites, then those only the role-played one has evidence for."""
+    out = []
+
+    def add(rule: str, severity: str, kind: str, subject: str, evidence: str, rows: str) -> None:
+        out.append(f"SELECT crawl_id, '{rule}' AS rule_id, '{severity}' AS severity, '{kind}' AS subject_type, CAST({subject} AS VARCHAR) AS subject_id, '{{' || {evidence} || '}}' AS evidence_json FROM ({rows})")
+
+    member = lambda name, value: f"""'"{name}":' || {value}"""
+    both = lambda *m: " || ',' || ".join(m)
+    noindex = "lower(coalesce({0}.robots_directives, '')) LIKE '%noindex%'"
+    for page, link, found, url in (("page", "link", "entry", "known"), ("r_page", "r_link", "r_found", "r_url")):
+        bad = "(t.state IS NULL OR t.state = 'failed' OR t.status_code >= 400)"
+        add("AUD-01", "error", "link", "link_id", member("status_code", "s"), f"SELECT l.crawl_id, l.link_id, coalesce(t.status_code, 0) AS s FROM {link} l LEFT JOIN {url} t ON t.crawl_id = l.crawl_id AND t.url = l.target_url WHERE l.kind = 'internal' AND l.target_url IS NOT NULL AND {bad}")
+        for field in ("title", "meta_description"):
+            add("AUD-02", "warning", "page", "page_id", both(f"""'"field":"{field}"'""", member("duplicate_count", "n")), f"SELECT * FROM (SELECT crawl_id, page_id, count(*) OVER (PARTITION BY crawl_id, {field}) AS n FROM {page} WHERE trim(coalesce({field}, '')) <> '') WHERE n > 1")
+        add(
+            "AUD-04", "error", "page", "page_id", both(member("target_status", "s"), member("target_crawled", "c"), member("target_noindex", "x")),
+            f"""SELECT * FROM (SELECT p.crawl_id, p.page_id, p.canonical_url, coalesce(t.status_code, 0) AS s, t.url IS NOT NULL AS c, coalesce(q.canonical_url, '') AS o, coalesce({noindex.format('q')}, false) AS x FROM {page} p
+              LEFT JOIN {url} t ON t.crawl_id = p.crawl_id AND t.url = p.canonical_url LEFT JOIN {page} q ON q.crawl_id = t.crawl_id AND q.url = t.url WHERE p.canonical_url IS NOT NULL) WHERE NOT c OR s <> 200 OR (o <> '' AND o <> canonical_url) OR x""",
+        )
+        add("AUD-06", "info", "page", "page_id", member("in_sitemap", "false"), f"SELECT * FROM {page} p WHERE status_code = 200 AND NOT {noindex.format('p')} AND NOT EXISTS (SELECT 1 FROM {found} f WHERE f.crawl_id = p.crawl_id AND f.url = p.url)")
+        add(
+            "AUD-06", "warning", "url", "url", both(member("status_code", "s"), member("noindex", "x")),
+            f"""SELECT * FROM (SELECT f.crawl_id, f.url, coalesce(t.status_code, 0) AS s, coalesce({noindex.format('q')}, false) AS x FROM (SELECT DISTINCT * FROM {found}) f
+              LEFT JOIN {url} t ON t.crawl_id = f.crawl_id AND t.url = f.url LEFT JOIN {page} q ON q.crawl_id = t.crawl_id AND q.url = t.url) WHERE s <> 200 OR x""",
+        )
+        add("AUD-08", "warning", "page", "page_id", member("duplicate_count", "(n - 1)"), f"SELECT * FROM (SELECT crawl_id, page_id, count(*) OVER (PARTITION BY crawl_id, content_hash) AS n FROM {page} WHERE trim(coalesce(content_hash, '')) <> '') WHERE n > 1")
+        add("AUD-11", "warning", "page", "page_id", both(member("depth", "depth"), member("threshold", "4")), f"SELECT * FROM {page} WHERE depth > 4")
+        add("AUD-11", "warning", "page", "page_id", member("inlinks", "0"), f"SELECT * FROM {page} p WHERE depth > 0 AND NOT EXISTS (SELECT 1 FROM {link} l WHERE l.crawl_id = p.crawl_id AND l.kind = 'internal' AND l.target_url = p.url)")
+        add("AUD-11", "info", "page", "page_id", member("nofollow_links", "n"), f"SELECT p.crawl_id, p.page_id, count(*) AS n FROM {page} p JOIN {link} l ON l.crawl_id = p.crawl_id AND l.source_url = p.url WHERE l.kind = 'internal' AND (' ' || lower(replace(l.rel, ',', ' ')) || ' ') LIKE '% nofollow %' GROUP BY p.crawl_id, p.page_id")
+    add("AUD-06", "error", "sitemap", "sitemap_id", """'"status":"' || status || '"'""", "SELECT * FROM r_sitemap WHERE status <> 'ok'")
+    add("AUD-07", "warning", "url", "crawl_url_id", """'"robots_decision":"disallowed"'""", "SELECT * FROM r_url WHERE robots_decision = 'disallowed'")
+    add(
+        "AUD-09", "warning", "page", "page_id", """'"hreflang":"' || language_code || '","reciprocal":false'""",
+        """SELECT h.crawl_id, h.page_id, h.language_code FROM r_hreflang h JOIN r_page s ON s.page_id = h.page_id LEFT JOIN r_page t ON t.url = h.target_url
+          WHERE t.page_id IS NULL OR NOT EXISTS (SELECT 1 FROM r_hreflang b WHERE b.page_id = t.page_id AND b.target_url = s.url)""",
+    )
+    add("AUD-10", "error", "image", "image_id", member("status_code", "status_code"), _IMAGES)
+    add("AUD-08", "warning", "page", "id", both(member("hamming_distance", "distance"), member("match", "match_id")), f"SELECT '{roles.CRAWL}' AS crawl_id, * FROM similar_pages")
+    similar = site.ORACLES["gr_near_duplicates"].replace("WITH ", "", 1)
+    head, tail = similar.rsplit("SELECT id, match_id", 1)
+    views = f"""WITH {ev.SQL}, known AS (SELECT crawl_id, url, CASE WHEN coalesce(status_code, 0) = 0 THEN 'failed' ELSE 'analysed' END AS state, status_code FROM page),
+      entry AS (SELECT crawl_id, url FROM found WHERE discovery_kind = 'sitemap'), {roles.sql()}, {head.rstrip()}, similar_pages AS (SELECT id, match_id{tail}), every AS ({' UNION ALL '.join(out)})"""
+    return f"""{views} SELECT *, CASE WHEN severity = 'info' THEN 'information' WHEN rule_id IN ('AUD-01', 'AUD-07', 'AUD-09', 'AUD-10', 'AUD-04') THEN 'deterministic' WHEN rule_id = 'AUD-02' THEN 'recommendation'
+        WHEN rule_id = 'AUD-08' AND evidence_json NOT LIKE '%hamming_distance%' THEN 'deterministic' WHEN rule_id IN ('AUD-08', 'AUD-11') THEN 'recommendation' ELSE 'review' END AS classification,
+      CASE WHEN rule_id = 'AUD-06' THEN 'sitemap' WHEN subject_type IN ('link', 'image', 'url') OR rule_id IN ('AUD-08', 'AUD-11') THEN 'graph' ELSE 'raw' END AS evidence_source FROM every"""
+
+
+@query("gr_finalize", _finalize_sql())
+def gr_finalize(spark: SparkSession, sf: str) -> DataFrame:
+    """All whole-site findings of the delivered crawls and of the role-played one, which has evidence for every rule."""
+    pages, links, found, urls, sitemaps, alternates, images, shown = _role(spark, sf, "page", "link", "found", "url", "sitemap", "hreflang", "image", "shown")
+    similar = site.gr_near_duplicates(spark, sf).withColumn("crawl_id", F.lit(roles.CRAWL))
+    own = ev.pages(spark, sf, *[c for c in pages.columns if c not in ("crawl_id", "url")])
+    every = [
+        own.unionByName(pages),
+        ev.links(spark, sf, "source_url", "target_url", "rel", "kind").unionByName(links),
+        ev.discovered(spark, sf).filter("discovery_kind = 'sitemap'").select("crawl_id", "url", "discovery_kind").distinct().unionByName(found, allowMissingColumns=True),
+        graph.url_states(own).unionByName(urls.select("crawl_id", "url", "state", "status_code")),
+    ]
+    return graph.finalize(*every, sitemaps, urls, alternates, images, shown, similar)
 
 
 # Sinks, as the frames they write.
