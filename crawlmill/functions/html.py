@@ -340,6 +340,44 @@ def page(url: Column, body: Column) -> Column:
     return page_record(url, body)
 
 
+REFERENCES = {"a": "href", "area": "href", "link": "href", "iframe": "src", "frame": "src"}
+MAX_REFERENCE = 8192
+
+
+def discover(url: str | None, body: str | None, most: int) -> list[str]:
+    """Distinct http references of a document in order of their first place, at most ``most``.
+
+    Links, areas, link elements and frames count; the first ``base`` holds for what follows it. References that are
+    empty or longer than ``MAX_REFERENCE`` bytes are left out. Null documents have none.
+    """
+    if not url or not body or most < 1:
+        return []
+    base, fixed = url, False
+    found: dict[str, None] = {}
+    for node in parse(body).walk():
+        if node.tag == "base" and not fixed:
+            fixed, base = True, resolve_url(base, node.get("href")) or base
+        raw = node.get(REFERENCES[node.tag]).strip() if node.tag in REFERENCES else ""
+        if not raw or len(raw.encode("utf-8", "replace")) > MAX_REFERENCE:
+            continue
+        target = resolve_url(base, raw)
+        if target:
+            found.setdefault(target)
+            if len(found) == most:
+                break
+    return list(found)
+
+
+def discovered(url: Column, body: Column, most: int) -> Column:
+    """Column form of ``discover``."""
+
+    @vectorized("array<string>")
+    def run(urls: pd.Series, bodies: pd.Series) -> pd.Series:
+        return pd.Series([discover(u, b, most) for u, b in zip(urls, bodies)], dtype=object)
+
+    return run(url, body)
+
+
 SECRET = re.compile(r"(?i)token|secret|passw|auth|session|api-?key|nonce|csrf")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlmill.functions import vectorized
+from crawlmill.session import checkpointed
 
 MAX_ROBOTS_BYTES, MAX_RULE = 512 * 1024, 4096
 MAX_SITEMAP_BYTES, MAX_SITEMAP_ENTRIES, MAX_SITEMAP_DEPTH = 50 << 20, 50_000, 5
@@ -129,12 +130,13 @@ def discover_sitemaps(roots: DataFrame, documents: DataFrame, max_depth: int = M
     ``roots`` has ``sitemap_url``, ``documents`` has ``sitemap_url, body``. The number of rounds is bounded by
     ``max_depth``; a sitemap without a document is ``missing``.
     """
-    parsed = documents.select("sitemap_url", sitemap("body").alias("s")).select("sitemap_url", "s.kind", "s.locations")
-    wave = roots.select("sitemap_url").distinct().withColumn("depth", F.lit(0))
-    seen = wave
+    parsed = checkpointed(documents.select("sitemap_url", sitemap("body").alias("s")).select("sitemap_url", "s.kind", "s.locations"))  # each file is parsed once
+    wave = seen = checkpointed(roots.select("sitemap_url").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
         inner = wave.join(parsed.filter("kind = 'sitemapindex'"), "sitemap_url").select(F.explode("locations").alias("sitemap_url")).distinct()
-        wave = inner.join(seen.select("sitemap_url"), "sitemap_url", "left_anti").withColumn("depth", F.lit(depth))
+        wave = checkpointed(inner.join(seen.select("sitemap_url"), "sitemap_url", "left_anti").withColumn("depth", F.lit(depth)))
+        if wave.isEmpty():
+            break
         seen = seen.unionByName(wave)
     return seen.join(parsed, "sitemap_url", "left").select("sitemap_url", "depth", F.coalesce("kind", F.lit("missing")).alias("kind"), "locations")
 

@@ -191,6 +191,27 @@ def field_differences(a: DataFrame, b: DataFrame, keys: list[str], fields: list[
     return rows.filter("a_value <> b_value").select(*keys, "field", cut("a_value"), cut("b_value"))
 
 
+def record_differences(a: DataFrame, b: DataFrame, keys: list[str], limit: int = 4096) -> DataFrame:
+    """Fields in which two page records of a key differ: ``keys, field, a_value, b_value``.
+
+    Both have ``keys`` and ``page``, a record of ``functions.html.page``. Fifteen fields are compared; lists are
+    compared as JSON cut at ``limit`` characters, links and images by their number. Null records have empty fields.
+    """
+    p = F.col("page")
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    cut = lambda c: F.substring(F.coalesce(F.to_json(c), F.lit("[]")), 1, limit)
+    number = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("string")
+    brief = F.transform(p["structured_data"], lambda d: F.struct(d["format"].alias("format"), d["types"].alias("types"), d["valid"].alias("valid")))
+    fields = {
+        "title": text(p["title"]), "meta_description": text(p["meta_description"]), "canonical": text(F.get(p["canonicals"], F.lit(0))), "robots": text(p["meta_robots"]),
+        "language": text(p["language"]), "content_hash": text(p["content_hash"]), "text_length": text(p["text_bytes"]), "headings": cut(p["headings"]), "link_count": number(p["links"]),
+        "image_count": number(p["images"]), "hreflang": cut(p["hreflangs"]), "structured_data": cut(brief), "viewport": text(p["viewport"]), "amp_alternate": text(p["amp_url"]),
+        "mobile_alternate": text(p["mobile_alternate"]),
+    }
+    flat = lambda df: df.select(*keys, *[c.alias(n) for n, c in fields.items()])
+    return field_differences(flat(a), flat(b), keys, list(fields), limit)
+
+
 def segments(rows: DataFrame, scope: str, key: str, size: int) -> DataFrame:
     """Ledger of count windows of ``size`` rows in key order, with a checksum over their keys.
 

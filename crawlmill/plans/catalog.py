@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlmill.plans import general, site, stateful
+from crawlmill.plans import general, site, stateful, surface
 
-_PARTS = (general, site, stateful)
+_PARTS = (general, site, stateful, surface)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for part in _PARTS for k, q in part.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for part in _PARTS for k, s in part.ORACLES.items()}
 FLAGSHIP = "q_summary"

@@ -226,24 +226,39 @@ def gr_finalize(spark: SparkSession, sf: str) -> DataFrame:
 # Sinks, as the frames they write.
 
 
+_REPORT = ("page_id", "url", "title", "meta_description", "canonical_url", "robots_directives", "content_hash", "status_code", "depth", "extraction_mode", "text_length")
+
+
 @query(
     "snk_pages",
-    "WITH " + ev.SQL + """SELECT page_id, CASE WHEN regexp_matches(title, '^[\\t\\r\\n ]*[=+@-]') THEN '''' || title ELSE title END AS title,
-      CASE WHEN regexp_matches(url, '^[\\t\\r\\n ]*[=+@-]') THEN '''' || url ELSE url END AS url FROM page""",
+    "WITH " + ev.SQL + " SELECT " + ", ".join(f"CASE WHEN regexp_matches(CAST({c} AS VARCHAR), '^[\\t\\r\\n ]*[=+@-]') THEN chr(39) || CAST({c} AS VARCHAR) ELSE CAST({c} AS VARCHAR) END AS {c}" for c in _REPORT) + " FROM page",
 )
 def snk_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of the page report as they are written."""
-    rows = ev.pages(spark, sf, "page_id", "title")
-    return rows.select("page_id", exports.guarded(F.col("title")).alias("title"), exports.guarded(F.col("url")).alias("url"))
+    rows = ev.pages(spark, sf, *[c for c in _REPORT if c != "url"])
+    return rows.select(*[exports.guarded(F.col(c)).alias(c) for c in _REPORT])
 
 
-@query("snk_bundle")
+@query(
+    "snk_bundle",
+    "WITH " + ev.SQL + """, a AS (SELECT crawl_id, count(*) AS pages, count(*) FILTER (status_code >= 400) AS failing FROM page GROUP BY crawl_id),
+      b AS (SELECT crawl_id, string_agg('"' || rule_id || '":' || n, ',' ORDER BY rule_id) AS m FROM (SELECT crawl_id, rule_id, count(*) AS n FROM (SELECT DISTINCT issue_id, crawl_id, rule_id FROM issue) WHERE rule_id IS NOT NULL GROUP BY ALL) GROUP BY crawl_id)
+      SELECT crawl_id, '{"pages":' || pages || ',"failing":' || failing || coalesce(',"issues":{' || m || '}', '') || '}' AS bundle FROM a LEFT JOIN b USING (crawl_id)""",
+)
 def snk_bundle(spark: SparkSession, sf: str) -> DataFrame:
     """Metadata-only diagnostics of every crawl."""
-    return exports.bundle(ev.pages(spark, sf, "status_code"), table(spark, sf, "issue", "issue_id", "crawl_id", "rule_id").distinct())
+    issues = table(spark, sf, "issue", "issue_id", "crawl_id", "rule_id").filter("rule_id is not null").distinct()
+    return exports.bundle(ev.pages(spark, sf, "status_code"), issues)
 
 
-@query("snk_manifest")
+_SEGMENT = ("url", "title", "content_hash", "status_code", "depth", "text_length", "extracted_at", "page_id")
+
+
+@query(
+    "snk_manifest",
+    f"""SELECT crawl_id, count(*) AS rows, CAST(sum(('0x' || substr(md5(concat_ws(chr(31), {', '.join(f"coalesce(CAST({'epoch_us(extracted_at)' if c == 'extracted_at' else c} AS VARCHAR), chr(0))" for c in sorted(_SEGMENT))})), 1, 15))::BIGINT) AS VARCHAR) AS checksum
+      FROM page_record GROUP BY crawl_id""",
+)
 def snk_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Rows and checksums of the page snapshot by crawl."""
-    return exports.manifest(table(spark, sf, "page_record"), "crawl_id")
+    return exports.manifest(table(spark, sf, "page_record", "crawl_id", *_SEGMENT), "crawl_id")

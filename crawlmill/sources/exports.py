@@ -6,7 +6,7 @@ import re
 import zipfile
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_SHEET_ROWS = 1_048_575
@@ -81,17 +81,71 @@ def bundle(pages: DataFrame, issues: DataFrame) -> DataFrame:
     return a.join(b, "crawl_id", "left").select("crawl_id", F.to_json(F.struct("pages", "failing", "issues")).alias("bundle"))
 
 
-def write_segments(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Write a snapshot partitioned by ``key`` and return its manifest: ``key``, rows and an order-free checksum."""
+def write_segments(df: DataFrame, path: str, key: str, known: DataFrame | None = None) -> DataFrame:
+    """Write a snapshot partitioned by ``key`` and return its manifest: ``key``, rows and an order-free checksum.
+
+    Segments are never changed: where ``known``, the manifest of what is there, has another checksum for one of
+    them, nothing is written and ValueError is raised; equal ones are written again to the same end.
+    """
+    now = manifest(df, key)
+    if known is not None:
+        clash = now.join(known.select(key, F.col("checksum").alias("was")), key).filter("checksum <> was")
+        if not clash.isEmpty():
+            raise ValueError("a segment is there with other content")
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-    return manifest(df.sparkSession.read.parquet(path), key)
+    return now
 
 
 def manifest(df: DataFrame, key: str) -> DataFrame:
-    """Rows and checksum of each part, for a later ``verify_segments``."""
+    """Rows and checksum of each part, for a later ``verify_segments``.
+
+    The checksum doesn't depend on the order of rows: each row is written as text, column by column in order of
+    names, times as microseconds and nulls as a sign of their own, and the first 60 bits of its MD5 are added up.
+    """
     rest = sorted(c for c in df.columns if c != key)
-    digest = F.xxhash64(*[F.col(c).cast("string") if df.schema[c].dataType.typeName() in ("map", "variant") else F.col(c) for c in rest])
-    return df.groupBy(F.col(key).cast("string").alias(key)).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(digest).alias("checksum"))
+
+    def said(name: str) -> Column:
+        kind = df.schema[name].dataType.typeName()
+        if kind == "timestamp":
+            return F.unix_micros(name).cast("string")
+        return F.to_json(name) if kind in ("map", "struct", "array", "variant") else F.col(name).cast("string")
+
+    text = F.concat_ws("\x1f", *[F.coalesce(said(c), F.lit("\x00")) for c in rest])
+    digest = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.groupBy(F.col(key).cast("string").alias(key)).agg(F.count(F.lit(1)).alias("rows"), F.sum(digest).cast("decimal(38,0)").cast("string").alias("checksum"))
+
+
+def record(df: DataFrame, path: str, kind: str, days: int | None = None) -> DataFrame:
+    """Write an artifact and return its record: ``path, kind, rows, checksum, created_at, expires_at``.
+
+    The files become visible at once when the job commits; a folder that holds other content is refused, one that
+    holds the same is left as it is, so a repeated run gives the same record.
+    """
+    spark = df.sparkSession
+    one = lambda x: manifest(x.withColumn("__all", F.lit("all")), "__all").first()
+    now = one(df)
+    rows, checksum = (now["rows"], now["checksum"]) if now else (0, "0")
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        there = one(spark.read.parquet(path))
+        if (there["rows"], there["checksum"]) != (rows, checksum) if there else rows:
+            raise ValueError(f"{path} holds other content")
+    else:
+        df.write.mode("errorifexists").parquet(path)
+    out = spark.createDataFrame([(path, kind, rows, checksum)], "path string, kind string, rows long, checksum string")
+    ends = F.lit(None).cast("timestamp") if days is None else F.current_timestamp() + F.expr(f"interval {int(days)} day")
+    return out.withColumns({"created_at": F.current_timestamp(), "expires_at": ends})
+
+
+def backup(spark: SparkSession, source: str, target: str, key: str) -> DataFrame:
+    """Copy a snapshot and return its manifest; ValueError where the copy isn't equal part by part."""
+    rows = spark.read.parquet(source)
+    before = manifest(rows, key)
+    rows.write.mode("errorifexists").parquet(target)
+    if not verify_segments(spark.read.parquet(target), before, key).isEmpty():
+        raise ValueError(f"{target} differs from {source}")
+    return before
 
 
 def verify_segments(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
