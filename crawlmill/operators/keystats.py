@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from crawlmill.sources.tables import spread
 
-ENTRIES_PER_BLOCK = 50_000
+ENTRIES_PER_BLOCK = 200_000  # entries all splits send to a block, at most; large, so that a split's arrays stay long
 
 
 def partial_arrays(df: DataFrame, key: str, flags: list[str], blocks: int) -> DataFrame:
@@ -66,16 +66,17 @@ def _scatter(codes: np.ndarray, arrays: np.ndarray, size: int) -> np.ndarray:
     return np.vstack([np.bincount(codes, weights=row, minlength=size) for row in arrays]).astype(np.int64)
 
 
-def dense_sums(df: DataFrame, key: str, flags: dict[str, str]) -> DataFrame:
+def dense_sums(df: DataFrame, key: str, flags: dict[str, str], size: int | None = None) -> DataFrame:
     """Per key: ``key_value``, ``rows`` and one sum for each name in ``flags`` (a column of 0 and 1, or counts).
 
     Nulls of ``key`` have no result row; a null flag counts as 0. Sums are exact below 2**53. An empty table
-    gives no rows. The number of blocks follows the number of rows, so a block's arrays stay bounded.
+    gives no rows. The number of blocks follows the number of rows, so a block's arrays stay bounded; ``size``, an
+    upper bound of that number, saves counting them.
     """
     names = list(flags)
     rows = df.filter(F.col(key).isNotNull()).select(key, *[F.coalesce(F.col(flags[n]), F.lit(0)).alias(n) for n in names])
     rows = spread(rows)
-    blocks = max(16, rows.count() // ENTRIES_PER_BLOCK)
+    blocks = max(16, (rows.count() if size is None else size) // ENTRIES_PER_BLOCK)
     partial = partial_arrays(rows, key, names, blocks)
     figures = 1 + len(names)
 
@@ -102,18 +103,21 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     return dense_sums(df, key, {}).filter(F.col("rows") >= F.lit(max(1, least))).select(F.lit(key).alias("key_field"), "key_value", "rows")
 
 
-def url_figures(df: DataFrame, key: str, partner: str, text: str) -> DataFrame:
+def url_figures(df: DataFrame, ends: dict[str, str], text: str) -> DataFrame:
     """Per key: rows, rows with a non-empty ``text``, distinct partners and distinct non-empty texts.
 
-    Distinct values are found by grouping on (key, value), which is combined before the shuffle and spreads a
-    hot key over all tasks; only then are they added up per key with the dense arrays.
+    ``ends`` names the key columns, each with the column of its partners; the result has ``key_field, key_value``
+    and the figures. One scan serves all keys. Distinct values are found by grouping on (key, value), which is
+    combined before the shuffle and spreads a hot key over all tasks; only then are they added up per key with
+    the dense arrays. A null key has no row, a null partner counts as a row only.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(partner).alias("p"), F.when(F.col(text) != "", F.col(text)).alias("t")).filter("k is not null")
-    pairs = rows.filter("p is not null").select("k", "p").distinct().withColumn("partners", F.lit(1)).withColumn("texts", F.lit(0))
-    texts = rows.filter("t is not null").select("k", "t").distinct().withColumn("partners", F.lit(0)).withColumn("texts", F.lit(1))
-    ones = rows.select("k", F.lit(1).alias("links"), F.col("t").isNotNull().cast("int").alias("with_text"), F.lit(0).alias("partners"), F.lit(0).alias("texts"))
-    more = pairs.select("k", "partners", "texts").unionByName(texts.select("k", "partners", "texts"))
-    more = more.select("k", F.lit(0).alias("links"), F.lit(0).alias("with_text"), "partners", "texts")
-    names = ["links", "with_text", "partners", "texts"]
-    out = dense_sums(ones.unionByName(more), "k", {n: n for n in names})
-    return out.select(F.lit(key).alias("key_field"), "key_value", *names)
+    said = F.when(F.col(text) != "", F.col(text))
+    value = lambda side, key, kind, v: F.struct(F.lit(side).alias("side"), F.col(key).alias("k"), F.lit(kind).alias("kind"), v.cast("string").alias("v"))
+    each = F.array(*[value(str(i), key, kind, v) for i, (key, partner) in enumerate(ends.items()) for kind, v in (("p", F.col(partner)), ("t", said))])
+    pairs = df.select(F.inline(each)).filter("k is not null").groupBy("side", "k", "kind", "v").agg(F.count(F.lit(1)).alias("n"))
+    partner, there = F.col("kind") == "p", F.col("v").isNotNull()
+    sums = {"links": F.when(partner, F.col("n")), "with_text": F.when(~partner & there, F.col("n")), "partners": F.when(partner & there, 1), "texts": F.when(~partner & there, 1)}
+    rows = pairs.select(F.concat("side", F.lit(":"), "k").alias("key"), *[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in sums.items()])
+    out = dense_sums(rows, "key", {n: n for n in sums}, df.count() * 2 * len(ends))
+    field = F.element_at(F.array(*map(F.lit, ends)), F.substring_index("key_value", ":", 1).cast("int") + 1)
+    return out.select(field.alias("key_field"), F.expr("substring(key_value, instr(key_value, ':') + 1)").alias("key_value"), *sums)

@@ -72,8 +72,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_url_figures(spark: SparkSession, sf: str) -> DataFrame:
     """Links, distinct partners and distinct anchors of every target and source url."""
     links = table(spark, sf, "link_record", "target_url", "source_url", "anchor_text")
-    targets = keystats.url_figures(links, "target_url", "source_url", "anchor_text")
-    return targets.unionByName(keystats.url_figures(links, "source_url", "target_url", "anchor_text"))
+    return keystats.url_figures(links, {"target_url": "source_url", "source_url": "target_url"}, "anchor_text")
 
 
 def _completed(spark: SparkSession, sf: str) -> DataFrame:

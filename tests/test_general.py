@@ -38,8 +38,11 @@ def test_dense_sums_against_counter(spark):
 
 def test_url_figures(spark):
     rows = [("a", "x", "t"), ("a", "x", ""), ("a", "y", None), ("b", None, "t"), (None, "x", "t")]
-    got = {r.key_value: (r.links, r.with_text, r.partners, r.texts) for r in keystats.url_figures(spark.createDataFrame(rows, "k string, p string, t string"), "k", "p", "t").collect()}
+    got = {r.key_value: (r.links, r.with_text, r.partners, r.texts) for r in keystats.url_figures(spark.createDataFrame(rows, "k string, p string, t string"), {"k": "p"}, "t").collect()}
     assert got == {"a": (3, 1, 2, 1), "b": (1, 1, 0, 1)}
+    both = keystats.url_figures(spark.createDataFrame([*rows, ("x:y", "a", "")], "k string, p string, t string"), {"k": "p", "p": "k"}, "t")
+    assert {(r.key_field, r.key_value, r.links, r.partners) for r in both.collect()} == {("k", "a", 3, 2), ("k", "b", 1, 0), ("k", "x:y", 1, 1), ("p", "x", 3, 1), ("p", "y", 1, 1), ("p", "a", 1, 1)}
+    assert keystats.url_figures(spark.createDataFrame([], "k string, p string, t string"), {"k": "p"}, "t").count() == 0
 
 
 def test_snapshots_against_brute_force(spark):
