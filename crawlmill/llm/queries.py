@@ -26,7 +26,7 @@ def garbled(spark: SparkSession, sf: str) -> DataFrame:
     ).alias("f")
     pages = table(spark, sf, "page_record", "page_id", "title", "meta_description").select(F.lit("page").alias("record_kind"), F.col("page_id").alias("record_id"), fields)
     pages = pages.select("record_kind", "record_id", "f.field_name", "f.value")
-    links = table(spark, sf, "link_record").select(
+    links = table(spark, sf, "link_record", "link_id", "anchor_text").select(
         F.lit("link").alias("record_kind"), F.col("link_id").alias("record_id"), F.lit("anchor_text").alias("field_name"), F.col("anchor_text").alias("value")
     )
     keys = ["record_kind", "record_id", "field_name"]
@@ -41,19 +41,18 @@ def p1_repaired(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Smallest page of each group of equal records, paired with each other page of the group."""
-    members = _p2_members(spark, sf).filter("member_id <> first_id")
+    members = format_duplicates.duplicate_members(*_p2_records(spark, sf)).filter("member_id <> first_id")
     return members.select(F.col("first_id").alias("first_page_id"), F.col("member_id").alias("copy_page_id"))
 
 
-def _p2_members(spark: SparkSession, sf: str) -> DataFrame:
+def _p2_records(spark: SparkSession, sf: str) -> tuple[DataFrame, str, str, str, str]:
     pages = table(spark, sf, "page_record", "crawl_id", "page_id", "title", "meta_description")
-    return format_duplicates.duplicate_members(pages, "crawl_id", "page_id", "title", "meta_description")
+    return pages, "crawl_id", "page_id", "title", "meta_description"
 
 
 def p2_copies(spark: SparkSession, sf: str) -> DataFrame:
     """One record per group with its number of copies."""
-    members = _p2_members(spark, sf)
-    return members.groupBy("crawl_id", "first_id").agg(F.count(F.lit(1)).alias("copies"))
+    return format_duplicates.collapse(*_p2_records(spark, sf))
 
 
 def _bodies(spark: SparkSession, sf: str) -> DataFrame:
