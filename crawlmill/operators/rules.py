@@ -15,47 +15,52 @@ LANGUAGE = r"(?i)^(x-default|[a-z]{2,3}(-[a-z]{2}|-[0-9]{3})?)\z"
 SPACE = r"^[\s\u0085   -     　]+|[\s\u0085   -     　]+$"
 
 
-# Rule, severity and message of every finding.
+# Rule, severity, message and class of every finding.
 FOUND = {
-    "response_successful": ("AUD-01", "error", "Page response is not successful"),
-    "resource_response_successful": ("AUD-01", "error", "Resource response is not successful"),
-    "title_missing_empty": ("AUD-02", "error", "Title is missing or empty"),
-    "title_shorter_configured": ("AUD-02", "warning", "Title is shorter than the configured threshold"),
-    "title_longer_configured": ("AUD-02", "warning", "Title is longer than the configured threshold"),
-    "meta_description_missing": ("AUD-02", "warning", "Meta description is missing or empty"),
-    "meta_description_shorter": ("AUD-02", "info", "Meta description is shorter than the configured threshold"),
-    "meta_description_longer": ("AUD-02", "warning", "Meta description is longer than the configured threshold"),
-    "h1_missing": ("AUD-03", "warning", "H1 is missing"),
-    "multiple_h1_headings": ("AUD-03", "warning", "Page has multiple H1 headings"),
-    "title_and_h1": ("AUD-03", "info", "Title and H1 are identical"),
-    "canonical_absent": ("AUD-04", "info", "Canonical is absent"),
-    "conflicting_canonical_elements": ("AUD-04", "error", "Page has conflicting canonical elements"),
-    "canonical_target_invalid": ("AUD-04", "error", "Canonical target is invalid"),
-    "indexable": ("AUD-05", "error", "Page is not indexable"),
-    "indexable_sitemap": ("AUD-06", "info", "Indexable page was not observed in a sitemap"),
-    "blocked_robots_txt": ("AUD-07", "warning", "URL is blocked by robots.txt"),
-    "exact_content_duplicates": ("AUD-08", "warning", "Page has exact content duplicates"),
-    "hreflang_language_region": ("AUD-09", "warning", "Hreflang language or region is invalid"),
-    "images_missing_alt": ("AUD-10", "warning", "Images are missing alt attributes"),
-    "deeper_configured_threshold": ("AUD-11", "warning", "Page is deeper than the configured threshold"),
-    "recorded_internal_inlinks": ("AUD-11", "warning", "Page has no recorded internal inlinks"),
-    "contains_internal_nofollow": ("AUD-11", "info", "Page contains internal nofollow links"),
-    "https_references_http": ("AUD-12", "error", "HTTPS page references HTTP resources"),
-    "content_security_policy": ("AUD-12", "info", "Content-Security-Policy header was not observed"),
-    "json_ld_syntax": ("AUD-13", "error", "JSON-LD syntax is invalid"),
-    "json_ld_structure": ("AUD-13", "error", "JSON-LD structure is invalid"),
-    "compact_structured_data": ("AUD-13", "warning", "Compact structured-data types have no observed Schema.org context"),
-    "responsive_viewport_declaration": ("AUD-15", "warning", "Responsive viewport declaration is absent"),
-    "viewport_declare_device": ("AUD-15", "warning", "Viewport does not declare device width"),
-    "amp_alternate_self": ("AUD-15", "error", "AMP alternate self-references the current page"),
-    "mobile_alternate_self": ("AUD-15", "error", "Mobile alternate self-references the current page"),
-    "images_omit_declared": ("AUD-16", "warning", "Images omit declared width or height"),
-    "image_resource_exceeds": ("AUD-16", "warning", "Image resource exceeds the review-size threshold"),
-    "image_uses_legacy": ("AUD-16", "warning", "Image uses a legacy web delivery format"),
-    "pdf_title_metadata": ("AUD-17", "warning", "PDF title metadata was not observed"),
-    "pdf_document_language": ("AUD-17", "warning", "PDF document language was not observed"),
-    "tagged_pdf_marker": ("AUD-17", "warning", "Tagged PDF marker was not observed"),
-    "pdf_encryption_dictionary": ("AUD-17", "info", "PDF encryption dictionary was observed"),
+    "RP-01": ("AUD-01", "error", "Page response is not successful", "deterministic"),
+    "RR-01": ("AUD-01", "error", "Resource response is not successful", "deterministic"),
+    "RP-02a": ("AUD-02", "error", "Title is missing or empty", "deterministic"),
+    "RP-02b": ("AUD-02", "warning", "Title is shorter than the configured threshold", "recommendation"),
+    "RP-02c": ("AUD-02", "warning", "Title is longer than the configured threshold", "recommendation"),
+    "RP-02d": ("AUD-02", "warning", "Meta description is missing or empty", "deterministic"),
+    "RP-02e": ("AUD-02", "info", "Meta description is shorter than the configured threshold", "information"),
+    "RP-02f": ("AUD-02", "warning", "Meta description is longer than the configured threshold", "recommendation"),
+    "RP-03a": ("AUD-03", "warning", "H1 is missing", "deterministic"),
+    "RP-03b": ("AUD-03", "warning", "Page has multiple H1 headings", "deterministic"),
+    "RP-03c": ("AUD-03", "info", "Title and H1 are identical", "information"),
+    "RP-04a": ("AUD-04", "info", "Canonical is absent", "information"),
+    "RP-04b": ("AUD-04", "error", "Page has conflicting canonical elements", "deterministic"),
+    "RP-04c": ("AUD-04", "error", "Canonical target is invalid", "deterministic"),
+    "RP-05": ("AUD-05", "error", "Page is not indexable", "deterministic"),
+    "RP-06": ("AUD-06", "info", "Indexable page was not observed in a sitemap", "information"),
+    "RP-07": ("AUD-07", "warning", "URL is blocked by robots.txt", "deterministic"),
+    "RP-08": ("AUD-08", "warning", "Page has exact content duplicates", "deterministic"),
+    "RP-09": ("AUD-09", "warning", "Hreflang language or region is invalid", "deterministic"),
+    "RP-10": ("AUD-10", "warning", "Images are missing alt attributes", "deterministic"),
+    "RP-11a": ("AUD-11", "warning", "Page is deeper than the configured threshold", "recommendation"),
+    "RP-11b": ("AUD-11", "warning", "Page has no recorded internal inlinks", "recommendation"),
+    "RP-11c": ("AUD-11", "info", "Page contains internal nofollow links", "information"),
+    "RP-12a": ("AUD-12", "error", "HTTPS page references HTTP resources", "deterministic"),
+    "RP-12b": ("AUD-12", "info", "Content-Security-Policy header was not observed", "information"),
+    "RP-13a": ("AUD-13", "error", "JSON-LD syntax is invalid", "deterministic"),
+    "RP-13b": ("AUD-13", "error", "JSON-LD structure is invalid", "deterministic"),
+    "RP-13c": ("AUD-13", "warning", "Compact structured-data types have no observed Schema.org context", "deterministic"),
+    "RP-13d": ("AUD-13", "error", "Schema.org type is unknown in bundled vocabulary", "deterministic"),
+    "RP-13e": ("AUD-13", "error", "Schema.org property is unknown in bundled vocabulary", "deterministic"),
+    "RP-13f": ("AUD-13", "warning", "Schema.org term is superseded", "recommendation"),
+    "RP-13g": ("AUD-13", "warning", "Schema.org domain guidance may not match the node type", "recommendation"),
+    "RP-13h": ("AUD-13", "warning", "Schema.org range guidance may not match the nested node type", "recommendation"),
+    "RP-15a": ("AUD-15", "warning", "Responsive viewport declaration is absent", "recommendation"),
+    "RP-15b": ("AUD-15", "warning", "Viewport does not declare device width", "recommendation"),
+    "RP-15c": ("AUD-15", "error", "AMP alternate self-references the current page", "deterministic"),
+    "RP-15d": ("AUD-15", "error", "Mobile alternate self-references the current page", "deterministic"),
+    "RP-16a": ("AUD-16", "warning", "Images omit declared width or height", "recommendation"),
+    "RR-16b": ("AUD-16", "warning", "Image resource exceeds the review-size threshold", "recommendation"),
+    "RR-16c": ("AUD-16", "warning", "Image uses a legacy web delivery format", "recommendation"),
+    "RR-17a": ("AUD-17", "warning", "PDF title metadata was not observed", "recommendation"),
+    "RR-17b": ("AUD-17", "warning", "PDF document language was not observed", "recommendation"),
+    "RR-17c": ("AUD-17", "warning", "Tagged PDF marker was not observed", "recommendation"),
+    "RR-17d": ("AUD-17", "info", "PDF encryption dictionary was observed", "information"),
 }
 
 
@@ -64,10 +69,11 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, "")
 
 
-def finding(condition: Column, rule: str, severity: str, message: str, **evidence: Column) -> Column:
+def finding(condition: Column, rule: str, severity: str, message: str, kind: str, **evidence: Column) -> Column:
     """A finding where ``condition`` holds, else null; evidence is JSON."""
     said = F.to_json(F.struct(*[v.alias(k) for k, v in evidence.items()]))
-    return F.when(condition, F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), said.alias("evidence")))
+    fixed = {"rule_id": rule, "severity": severity, "message": message}
+    return F.when(condition, F.struct(*[F.lit(v).alias(k) for k, v in fixed.items()], said.alias("evidence"), F.lit(kind).alias("classification")))
 
 
 def _emit(df: DataFrame, keys: list[str], checks: list[Column], lists: list[Column] = []) -> DataFrame:  # noqa: B006
@@ -77,7 +83,7 @@ def _emit(df: DataFrame, keys: list[str], checks: list[Column], lists: list[Colu
 
 
 def page_findings(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """Findings of pages: ``keys, rule_id, severity, message, evidence``.
+    """Findings of pages: ``keys, rule_id, severity, message, evidence, classification``.
 
     ``pages`` has ``document_url, status_code, headers`` (map with lower-case names), ``depth, inlinks, in_sitemap,
     robots_blocked, exact_duplicate_count`` and ``page``, a record of ``functions.html.page``. Nulls count as
@@ -104,47 +110,46 @@ def page_findings(pages: DataFrame, keys: list[str]) -> DataFrame:
     no = F.lit
     bad = F.filter(F.coalesce(p["hreflangs"], F.array().cast(_type(pages, "hreflangs"))), lambda h: ~h["language"].rlike(LANGUAGE))
     data = F.coalesce(p["structured_data"], F.array().cast(_type(pages, "structured_data")))
-    per_language = F.transform(bad, lambda h: finding(no(True), *FOUND["hreflang_language_region"], hreflang=h["language"], target=h["url"]))
+    per_language = F.transform(bad, lambda h: finding(no(True), *FOUND["RP-09"], hreflang=h["language"], target=h["url"]))
     compact = lambda d: F.exists(d["types"], lambda t: (F.trim(t) != "") & ~t.contains(":"))
     known = lambda d: F.exists(d["contexts"], lambda c: F.rtrim(F.lower(F.trim(c)), F.lit("/")).isin("https://schema.org", "http://schema.org") | (c == "[inline context]"))
-    syntax = F.transform(data, lambda d, i: finding(~d["valid"], *FOUND["json_ld_syntax"], format=d["format"], block_index=i))
-    structure = F.transform(data, lambda d, i: finding(d["valid"] & (F.size(d["structural_errors"]) > 0), *FOUND["json_ld_structure"], block_index=i, errors=d["structural_errors"]))
+    syntax = F.transform(data, lambda d, i: finding(~d["valid"], *FOUND["RP-13a"], format=d["format"], block_index=i))
+    structure = F.transform(data, lambda d, i: finding(d["valid"] & (F.size(d["structural_errors"]) > 0), *FOUND["RP-13b"], block_index=i, errors=d["structural_errors"]))
     context = F.transform(
         data,
-        lambda d, i: finding(d["valid"] & (d["format"] == "json-ld") & compact(d) & ~known(d), *FOUND["compact_structured_data"], block_index=i, types=d["types"]),
+        lambda d, i: finding(d["valid"] & (d["format"] == "json-ld") & compact(d) & ~known(d), *FOUND["RP-13c"], block_index=i, types=d["types"]),
     )
     checks = [
-        finding((status < 200) | (status >= 400), *FOUND["response_successful"], status_code=status),
-        finding(title == 0, *FOUND["title_missing_empty"], field=no("title"), length=title),
-        finding((title > 0) & (title < TITLE[0]), *FOUND["title_shorter_configured"], field=no("title"), length=title, minimum=no(TITLE[0])),
-        finding(title > TITLE[1], *FOUND["title_longer_configured"], field=no("title"), length=title, maximum=no(TITLE[1])),
-        finding(description == 0, *FOUND["meta_description_missing"], field=no("meta_description"), length=description),
-        finding((description > 0) & (description < DESCRIPTION[0]), *FOUND["meta_description_shorter"], field=no("meta_description"), length=description, minimum=no(DESCRIPTION[0])),
-        finding(description > DESCRIPTION[1], *FOUND["meta_description_longer"], field=no("meta_description"), length=description, maximum=no(DESCRIPTION[1])),
-        finding(F.size(h1) == 0, *FOUND["h1_missing"], h1_count=no(0)),
-        finding(F.size(h1) > 1, *FOUND["multiple_h1_headings"], h1_count=F.size(h1)),
-        finding(F.coalesce(F.lower(trimmed(first_h1)) == F.lower(trimmed(p["title"])), no(False)) & first_h1.isNotNull(), *FOUND["title_and_h1"], title=p["title"], h1=first_h1),
-        finding(F.size(canonicals) == 0, *FOUND["canonical_absent"], canonical_count=no(0)),
-        finding(F.size(canonicals) > 1, *FOUND["conflicting_canonical_elements"], canonicals=canonicals),
-        finding((F.size(canonicals) == 1) & ~F.coalesce(F.get(canonicals, 0), no("")).rlike("(?i)^https?://[^/?#]"), *FOUND["canonical_target_invalid"], canonical=F.get(canonicals, 0)),
-        finding((status != 200) | noindex, *FOUND["indexable"], status_code=status, noindex=noindex),
-        finding(~F.coalesce("in_sitemap", no(False)) & (status == 200) & ~noindex, *FOUND["indexable_sitemap"], in_sitemap=no(False)),
-        finding(F.coalesce("robots_blocked", no(False)), *FOUND["blocked_robots_txt"], robots_blocked=no(True)),
-        finding(F.coalesce(F.col("exact_duplicate_count"), no(0)) > 0, *FOUND["exact_content_duplicates"], content_hash=p["content_hash"], duplicate_count=F.col("exact_duplicate_count")),
-        finding(no_alt > 0, *FOUND["images_missing_alt"], missing_alt=no_alt, image_count=F.size(images)),
-        finding(no_size > 0, *FOUND["images_omit_declared"], missing_dimensions=no_size, image_count=F.size(images)),
-        finding(viewport == "", *FOUND["responsive_viewport_declaration"], viewport=no("")),
-        finding((viewport != "") & ~viewport.contains("width=device-width"), *FOUND["viewport_declare_device"], viewport=p["viewport"]),
-        finding((p["amp_url"] != "") & urls.same_url(p["amp_url"], F.col("document_url")), *FOUND["amp_alternate_self"], amp_url=p["amp_url"]),
-        finding((p["mobile_alternate"] != "") & urls.same_url(p["mobile_alternate"], F.col("document_url")), *FOUND["mobile_alternate_self"], mobile_alternate=p["mobile_alternate"]),
-        finding(depth > DEEP, *FOUND["deeper_configured_threshold"], depth=depth, threshold=no(DEEP)),
-        finding((depth > 0) & (inlinks == 0), *FOUND["recorded_internal_inlinks"], inlinks=no(0)),
-        finding(nofollow > 0, *FOUND["contains_internal_nofollow"], nofollow_links=nofollow),
-        finding(https & (mixed > 0), *FOUND["https_references_http"], mixed_content_references=mixed),
-        finding(https & (F.coalesce(F.element_at("headers", "content-security-policy"), no("")) == ""), *FOUND["content_security_policy"], header=no("Content-Security-Policy")),
+        finding((status < 200) | (status >= 400), *FOUND["RP-01"], status_code=status),
+        finding(title == 0, *FOUND["RP-02a"], field=no("title"), length=title),
+        finding((title > 0) & (title < TITLE[0]), *FOUND["RP-02b"], field=no("title"), length=title, minimum=no(TITLE[0])),
+        finding(title > TITLE[1], *FOUND["RP-02c"], field=no("title"), length=title, maximum=no(TITLE[1])),
+        finding(description == 0, *FOUND["RP-02d"], field=no("meta_description"), length=description),
+        finding((description > 0) & (description < DESCRIPTION[0]), *FOUND["RP-02e"], field=no("meta_description"), length=description, minimum=no(DESCRIPTION[0])),
+        finding(description > DESCRIPTION[1], *FOUND["RP-02f"], field=no("meta_description"), length=description, maximum=no(DESCRIPTION[1])),
+        finding(F.size(h1) == 0, *FOUND["RP-03a"], h1_count=no(0)),
+        finding(F.size(h1) > 1, *FOUND["RP-03b"], h1_count=F.size(h1)),
+        finding(F.coalesce(F.lower(trimmed(first_h1)) == F.lower(trimmed(p["title"])), no(False)) & first_h1.isNotNull(), *FOUND["RP-03c"], title=p["title"], h1=first_h1),
+        finding(F.size(canonicals) == 0, *FOUND["RP-04a"], canonical_count=no(0)),
+        finding(F.size(canonicals) > 1, *FOUND["RP-04b"], canonicals=canonicals),
+        finding((F.size(canonicals) == 1) & ~F.coalesce(F.get(canonicals, 0), no("")).rlike("(?i)^https?://[^/?#]"), *FOUND["RP-04c"], canonical=F.get(canonicals, 0)),
+        finding((status != 200) | noindex, *FOUND["RP-05"], status_code=status, noindex=noindex),
+        finding(~F.coalesce("in_sitemap", no(False)) & (status == 200) & ~noindex, *FOUND["RP-06"], in_sitemap=no(False)),
+        finding(F.coalesce("robots_blocked", no(False)), *FOUND["RP-07"], robots_blocked=no(True)),
+        finding(F.coalesce(F.col("exact_duplicate_count"), no(0)) > 0, *FOUND["RP-08"], content_hash=p["content_hash"], duplicate_count=F.col("exact_duplicate_count")),
+        finding(no_alt > 0, *FOUND["RP-10"], missing_alt=no_alt, image_count=F.size(images)),
+        finding(no_size > 0, *FOUND["RP-16a"], missing_dimensions=no_size, image_count=F.size(images)),
+        finding(viewport == "", *FOUND["RP-15a"], viewport=no("")),
+        finding((viewport != "") & ~viewport.contains("width=device-width"), *FOUND["RP-15b"], viewport=p["viewport"]),
+        finding((p["amp_url"] != "") & urls.same_url(p["amp_url"], F.col("document_url")), *FOUND["RP-15c"], amp_url=p["amp_url"]),
+        finding((p["mobile_alternate"] != "") & urls.same_url(p["mobile_alternate"], F.col("document_url")), *FOUND["RP-15d"], mobile_alternate=p["mobile_alternate"]),
+        finding(depth > DEEP, *FOUND["RP-11a"], depth=depth, threshold=no(DEEP)),
+        finding((depth > 0) & (inlinks == 0), *FOUND["RP-11b"], inlinks=no(0)),
+        finding(nofollow > 0, *FOUND["RP-11c"], nofollow_links=nofollow),
+        finding(https & (mixed > 0), *FOUND["RP-12a"], mixed_content_references=mixed),
+        finding(https & (F.coalesce(F.element_at("headers", "content-security-policy"), no("")) == ""), *FOUND["RP-12b"], header=no("Content-Security-Policy")),
     ]
-    found = _emit(pages.withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>"))), keys, checks, [per_language, syntax, structure, context])
-    return found.withColumn("classification", classification())
+    return _emit(pages.withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>"))), keys, checks, [per_language, syntax, structure, context])
 
 
 def _type(pages: DataFrame, field: str) -> str:
@@ -161,36 +166,21 @@ def resource_findings(resources: DataFrame, keys: list[str]) -> DataFrame:
     pdf = (kind == "application/pdf") | body.startswith("%PDF-")
     image = kind.startswith("image/")
     checks = [
-        finding((status < 200) | (status >= 400), *FOUND["resource_response_successful"], status_code=status, content_type=kind),
-        finding(image & (size > LARGE_IMAGE), *FOUND["image_resource_exceeds"], decoded_bytes=size, threshold_bytes=F.lit(LARGE_IMAGE), content_type=kind),
-        finding(kind.isin("image/bmp", "image/tiff"), *FOUND["image_uses_legacy"], content_type=kind),
-        finding(pdf & ~body.contains("/Title"), *FOUND["pdf_title_metadata"], check=F.lit("info_title"), decoded_bytes=size),
-        finding(pdf & ~body.contains("/Lang"), *FOUND["pdf_document_language"], check=F.lit("document_language")),
-        finding(pdf & ~body.contains("/Marked true") & ~body.contains("/Marked(true)"), *FOUND["tagged_pdf_marker"], check=F.lit("marked_content")),
-        finding(pdf & body.contains("/Encrypt"), *FOUND["pdf_encryption_dictionary"], encrypted=F.lit(True)),
+        finding((status < 200) | (status >= 400), *FOUND["RR-01"], status_code=status, content_type=kind),
+        finding(image & (size > LARGE_IMAGE), *FOUND["RR-16b"], decoded_bytes=size, threshold_bytes=F.lit(LARGE_IMAGE), content_type=kind),
+        finding(kind.isin("image/bmp", "image/tiff"), *FOUND["RR-16c"], content_type=kind),
+        finding(pdf & ~body.contains("/Title"), *FOUND["RR-17a"], check=F.lit("info_title"), decoded_bytes=size),
+        finding(pdf & ~body.contains("/Lang"), *FOUND["RR-17b"], check=F.lit("document_language")),
+        finding(pdf & ~body.contains("/Marked true") & ~body.contains("/Marked(true)"), *FOUND["RR-17c"], check=F.lit("marked_content")),
+        finding(pdf & body.contains("/Encrypt"), *FOUND["RR-17d"], encrypted=F.lit(True)),
     ]
-    return _emit(resources, keys, checks).withColumn("classification", classification())
+    return _emit(resources, keys, checks)
 
 
 def classification() -> Column:
-    """Class of a finding from its severity, rule and message."""
-    rule, said = F.col("rule_id"), F.col("message")
-    sure = rule.isin("AUD-01", "AUD-05", "AUD-07", "AUD-09", "AUD-10") | (
-        said.isin(
-            "Title is missing or empty", "Meta description is missing or empty", "H1 is missing", "Page has multiple H1 headings",
-            "Page has exact content duplicates", "HTTPS page references HTTP resources",
-        )
-        | said.contains("self-references")
-    )
-    sure = sure | ((rule == "AUD-04") & (said != "Canonical is absent"))
-    advice = (said == "Schema.org term is superseded") | said.contains("Schema.org domain") | said.contains("Schema.org range")
-    return (
-        F.when(F.col("severity") == "info", "information")
-        .when(sure | ((rule == "AUD-13") & ~advice), "deterministic")
-        .when(rule == "AUD-12", "information")
-        .when(rule.isin("AUD-02", "AUD-03", "AUD-04", "AUD-08", "AUD-11", "AUD-13", "AUD-15", "AUD-16", "AUD-17"), "recommendation")
-        .otherwise("review")
-    )
+    """Class of a finding by its ``message`` as the table has it; of others by ``severity``."""
+    known = F.create_map(*[F.lit(x) for _, _, message, kind in FOUND.values() for x in (message, kind)])
+    return F.coalesce(F.try_element_at(known, F.col("message")), F.when(F.col("severity") == "info", "information").otherwise("review"))
 
 
 def vocabulary_findings(blocks: DataFrame, keys: list[str], terms: DataFrame) -> DataFrame:
@@ -207,7 +197,8 @@ def vocabulary_findings(blocks: DataFrame, keys: list[str], terms: DataFrame) ->
     eligible = used.filter("own or " + "lower(trim(term)) rlike '^(schema:|https?://schema[.]org/)'").withColumn("name", name).filter(~F.col("name").rlike("[:/]") & (F.col("name") != ""))
     known = terms.select("kind", "name", "superseded_by", F.lit(True).alias("known"))
     judged = eligible.join(known, ["kind", "name"], "left")
-    message = F.when(F.col("known").isNull(), F.concat(F.lit("Schema.org "), F.col("kind"), F.lit(" is unknown in bundled vocabulary"))).when(F.coalesce("superseded_by", F.lit("")) != "", "Schema.org term is superseded")
+    unknown = F.when(F.col("kind") == "type", FOUND["RP-13d"][2]).otherwise(FOUND["RP-13e"][2])
+    message = F.when(F.col("known").isNull(), unknown).when(F.coalesce("superseded_by", F.lit("")) != "", FOUND["RP-13f"][2])
     severity = F.when(F.col("known").isNull(), "error").otherwise("warning")
     return judged.select(*keys, "block_index", "name", F.lit("AUD-13").alias("rule_id"), severity.alias("severity"), message.alias("message"), "superseded_by").filter("message is not null")
 
@@ -242,8 +233,7 @@ def guidance_findings(nodes: DataFrame, keys: list[str], properties: DataFrame,
     used = typed.select(*at, "path", "types", F.explode("properties").alias("property")).join(properties.withColumnRenamed("name", "property"), "property")
     nested = typed.select(*at, F.col("path").alias("inner"), F.col("types").alias("inner_types"), F.regexp_replace("path", r"(\[\d+\])+$", "").alias("slot"))
     slot = used.filter(F.size("ranges") > 0).withColumn("slot", F.concat("path", F.lit("."), "property")).join(nested, [*at, "slot"])
-    domain = "Schema.org domain guidance may not match the node type"
-    rangy = "Schema.org range guidance may not match the nested node type"
+    domain, rangy = FOUND["RP-13g"][2], FOUND["RP-13h"][2]
     asked = used.filter(F.size("domains") > 0).select(*at, "path", "property", F.lit(domain).alias("message"), "types", F.col("domains").alias("wanted"))
     asked = asked.unionByName(slot.select(*at, F.col("inner").alias("path"), "property", F.lit(rangy).alias("message"), F.col("inner_types").alias("types"), F.col("ranges").alias("wanted")))
     which = [*at, "path", "property", "message"]

@@ -113,12 +113,18 @@ def url_link_kind(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "url_retry",
-    """SELECT decision, count(*) AS n FROM (SELECT CASE WHEN status_code IS NULL THEN 'permanent_network'
-      WHEN status_code IN (408, 425, 429, 500, 502, 503, 504) THEN 'transient_http' ELSE 'status_not_retryable' END AS decision FROM fetch_result) GROUP BY decision""",
+    """SELECT decision, wait_s, count(*) AS n FROM (SELECT CASE WHEN status_code IS NULL AND fetch_id % 2 = 0 THEN 'transient_network' WHEN status_code IS NULL THEN 'permanent_network'
+      WHEN status_code IN (408, 425, 429, 500, 502, 503, 504) THEN 'transient_http' ELSE 'status_not_retryable' END AS decision,
+      CASE fetch_id % 4 WHEN 0 THEN 120 WHEN 1 THEN 900 WHEN 2 THEN 480 ELSE 0 END AS wait_s FROM (SELECT DISTINCT fetch_id, status_code FROM fetch_result)) GROUP BY ALL""",
 )
 def url_retry(spark: SparkSession, sf: str) -> DataFrame:
-    """Fetches by whether another attempt is worth it."""
-    return table(spark, sf, "fetch_result", "status_code").groupBy(urls.retry_decision(F.col("status_code"), F.lit(False)).alias("decision")).agg(F.count(F.lit(1)).alias("n"))
+    """Fetches by whether another attempt is worth it and how long to wait; the errors' kind and the header are role-played from the key."""
+    key = F.col("fetch_id")
+    rows = table(spark, sf, "fetch_result", "fetch_id", "status_code").distinct()
+    header = F.when(key % 4 == 0, "120").when(key % 4 == 1, "99999").when(key % 4 == 2, "Wed, 21 Oct 2026 07:28:00 GMT").otherwise("soon")
+    decision = urls.retry_decision(F.col("status_code"), F.col("status_code").isNull() & (key % 2 == 0))
+    wait = urls.retry_after_s(header, F.lit("2026-10-21 07:20:00").cast("timestamp"))
+    return rows.groupBy(decision.alias("decision"), wait.alias("wait_s")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -539,13 +545,33 @@ def q_verify(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "q_progress",
-    """SELECT crawl_id, count(*) AS discovered, CAST(count_if(discovery_kind = 'seed') AS BIGINT) AS seeds, CAST(count_if(discovery_kind = 'sitemap') AS BIGINT) AS from_sitemaps,
-      max(depth) AS max_depth FROM (SELECT DISTINCT crawl_id, crawl_url_id, discovery_kind, depth FROM discovery) GROUP BY crawl_id""",
+    """WITH d AS (SELECT DISTINCT crawl_id, crawl_url_id, url, discovery_kind, depth FROM discovery), p AS (SELECT DISTINCT crawl_id, url, true AS done FROM page_record)
+      SELECT crawl_id, count(*) AS discovered, CAST(count_if(discovery_kind = 'seed') AS BIGINT) AS seeds, CAST(count_if(discovery_kind = 'sitemap') AS BIGINT) AS from_sitemaps,
+      max(depth) AS max_depth, CAST(count_if(done IS NULL) AS BIGINT) AS queued FROM d LEFT JOIN p USING (crawl_id, url) GROUP BY crawl_id""",
 )
 def q_progress(spark: SparkSession, sf: str) -> DataFrame:
-    """Frontier counters of every crawl."""
+    """Frontier counters of every crawl; queued are urls without a page yet."""
     kind = F.col("discovery_kind")
-    return ev.discovered(spark, sf).groupBy("crawl_id").agg(F.count(F.lit(1)).alias("discovered"), F.count_if(kind == "seed").alias("seeds"), F.count_if(kind == "sitemap").alias("from_sitemaps"), F.max("depth").alias("max_depth"))
+    done = table(spark, sf, "page_record", "crawl_id", "url").distinct().withColumn("done", F.lit(True))
+    rows = ev.discovered(spark, sf).join(done, ["crawl_id", "url"], "left")
+    return rows.groupBy("crawl_id").agg(
+        F.count(F.lit(1)).alias("discovered"), F.count_if(kind == "seed").alias("seeds"), F.count_if(kind == "sitemap").alias("from_sitemaps"),
+        F.max("depth").alias("max_depth"), F.count_if(F.col("done").isNull()).alias("queued"),
+    )
+
+
+@query("q_crawl_list", "SELECT crawl_id, project_id, status FROM (SELECT DISTINCT crawl_id, project_id, status FROM crawl_run) WHERE crawl_id > '4' ORDER BY crawl_id LIMIT 101")
+def q_crawl_list(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of the list of crawls, after a key."""
+    rows = table(spark, sf, "crawl_run", "crawl_id", "project_id", "status").distinct()
+    return reads.keyset(rows, "crawl_id", after="4")
+
+
+@query("q_observation_list", "SELECT observation_id, project_id, provider, scope FROM (SELECT DISTINCT observation_id, project_id, provider, scope FROM integration_observation) ORDER BY observation_id LIMIT 101")
+def q_observation_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The first page of the list of provider observations."""
+    rows = table(spark, sf, "integration_observation", "observation_id", "project_id", "provider", "scope").distinct()
+    return reads.keyset(rows, "observation_id")
 
 
 _DIFF_FIELDS = ("title", "meta_description", "canonical_url", "robots_directives", "language", "content_hash", "text_length")
@@ -576,10 +602,14 @@ def q_artifact_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("crawl_id").agg(F.coalesce(F.sum("decoded_bytes"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("fetches"))
 
 
-@query("q_segments", "SELECT crawl_id, segment, count(*) AS n, min(page_id) AS first_key, max(page_id) AS last_key FROM (SELECT crawl_id, page_id, CAST((row_number() OVER (PARTITION BY crawl_id ORDER BY page_id) - 1) // 100 AS BIGINT) AS segment FROM (SELECT DISTINCT crawl_id, page_id FROM page_record)) GROUP BY ALL")
+@query(
+    "q_segments",
+    """SELECT crawl_id, segment, count(*) AS n, min(page_id) AS first_key, max(page_id) AS last_key, sha256(string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY CAST(page_id AS VARCHAR))) AS checksum FROM (SELECT crawl_id, page_id,
+      CAST((row_number() OVER (PARTITION BY crawl_id ORDER BY page_id) - 1) // 100 AS BIGINT) AS segment FROM (SELECT DISTINCT crawl_id, page_id FROM page_record)) GROUP BY ALL""",
+)
 def q_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Ledger of segments of a hundred pages."""
-    return reads.segments(table(spark, sf, "page_record", "crawl_id", "page_id"), "crawl_id", "page_id", 100).drop("checksum")
+    """Ledger of segments of a hundred pages with the checksum of their keys."""
+    return reads.segments(table(spark, sf, "page_record", "crawl_id", "page_id"), "crawl_id", "page_id", 100)
 
 
 @query(

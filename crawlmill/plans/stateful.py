@@ -65,15 +65,24 @@ def st_outcome(spark: SparkSession, sf: str) -> DataFrame:
     return frontier.outcome(attempts.select("requested_url", "attempt", "status_code"), "requested_url").select("requested_url", F.col("attempt").cast("long").alias("attempt"), "state")
 
 
+STATES = ("pending", "running", "paused", "completed", "failed")
+
+
 @query(
     "st_status_transitions",
-    """WITH t AS (SELECT user_id, ts, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, event_type AS to_state FROM events)
-      SELECT from_state, to_state, count(*) AS n FROM t WHERE from_state IS NOT NULL AND from_state <> to_state GROUP BY 1, 2""",
+    f"""WITH k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS i FROM (SELECT DISTINCT event_type FROM events)),
+      e AS (SELECT user_id, ts, event_id, {list(STATES)}[CAST((i - 1) % {len(STATES)} + 1 AS INT)] AS s FROM events JOIN k USING (event_type)),
+      t AS (SELECT lag(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, s AS to_state FROM e)
+      SELECT from_state, to_state, (from_state, to_state) IN ({", ".join(f"('{a}', '{b}')" for a, n in frontier.TRANSITIONS.items() for b in n)}) AS allowed, count(*) AS n
+      FROM t WHERE from_state IS NOT NULL AND from_state <> to_state GROUP BY ALL""",
 )
 def st_status_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    """Changes of state in the event log."""
+    """Changes of state in the event log, whose types stand for crawl states in alphabetic order, and whether each is allowed."""
     rows = table(spark, sf, "events", "user_id", "ts", "event_id", "event_type")
-    return frontier.transitions(rows, "user_id", "event_type", ["ts", "event_id"]).groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("n"))
+    kinds = rows.select("event_type").distinct().withColumn("i", F.row_number().over(Window.partitionBy().orderBy("event_type")))  # a handful
+    state = F.element_at(F.array(*map(F.lit, STATES)), ((F.col("i") - 1) % len(STATES) + 1).cast("int"))
+    log = rows.join(kinds, "event_type").withColumn("state", state)
+    return frontier.transitions(log, "user_id", "state", ["ts", "event_id"]).groupBy("from_state", "to_state", "allowed").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from crawlmill.functions import html, robots, urls
 from crawlmill.operators import frontier, reads, rules
 from crawlmill.plans import roles
 from crawlmill.plans.site import SCOPE_EXCLUDE, SCOPE_INCLUDE, SCOPE_QUERY, Query, _html
+from crawlmill.session import shared_folder
 from crawlmill.sources import exports
 from crawlmill.sources.tables import table
+from crawlmill.streaming import progress
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -189,6 +193,17 @@ def q_record_diff(spark: SparkSession, sf: str) -> DataFrame:
     return reads.record_differences(side("a"), side("b"), ["requested_url"])
 
 
+@query("st_committed", "SELECT crawl_id, count(*) AS rows, count(DISTINCT crawl_url_id) AS urls FROM discovery GROUP BY crawl_id")
+def st_committed(spark: SparkSession, sf: str) -> DataFrame:
+    """Discoveries as a stream of files, committed batch by batch; a stream that starts over replaces what it wrote."""
+    rows = table(spark, sf, "discovery", "crawl_id", "crawl_url_id")
+    folder = f"{shared_folder(spark)}/st_committed-{uuid.uuid4().hex}"
+    stream = progress.file_stream(spark, f"{sf}/discovery.parquet*", table(spark, sf, "discovery").schema).select(*rows.columns)
+    for attempt in range(2):  # the second one has lost its checkpoint
+        progress.commit_batches(stream, f"{folder}/rows", f"{folder}/checkpoint-{attempt}").awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").groupBy("crawl_id").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("crawl_url_id").alias("urls"))
+
+
 # Sinks.
 
 _ISSUE = ("issue_id", "crawl_id", "rule_id", "rule_version", "subject_type", "subject_id", "severity", "classification", "evidence_source")

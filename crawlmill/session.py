@@ -24,16 +24,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the folder all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the one the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; a folder of our own is used only
-    in a local session that names none (tests).
+    A folder of our own is used only in a local session that names none (tests).
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="crawlmill-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` in the folder all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
