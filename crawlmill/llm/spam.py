@@ -29,9 +29,12 @@ SENTENCE_LEAST, SENTENCE_PIECES = 8, 4
 
 WORD = re.compile(r"[^\W_]+")
 LINK = re.compile(r"\[[^\]\n]*\]\([^)\n]*\)|https?://\S+|\bwww\.\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}\b(?:/\S*)?", re.I)
-# What ends a piece: a separator with blanks, punctuation, or a tag's beginning.
-CUT = re.compile(r"[,;|/•·»›→>]+(?=\s|$)|\s+[-–—/|•·→>»*]+\s+|[.!?…。]+(?=\s|$)|(?<=\s)(?=#\w)|\t+")
-MAYBE_LINK = re.compile(r"://|\]\(|\w\.[a-z]", re.I)
+# What ends a piece: separators, a sentence's end, a dash between blanks, a tag's beginning or a tab. One class of
+# characters stands first, so that other characters are passed over at once.
+CUT = re.compile(
+    r"[,;|/•·»›→>.!?…。\s#](?:(?<=[,;|/•·»›→>])[,;|/•·»›→>]*(?=\s|$)|(?<=\s)\s*[-–—/|•·→>»*]+\s+|(?<=[.!?…。])[.!?…。]*(?=\s|$)|(?<=\s#)(?=\w)|(?<=\t)\t*)"
+)
+DOTTED = re.compile(r"\.(?<=\w\.)[a-z]", re.I)
 TAG = re.compile(r"^\s*(?:#\w+|\w[\w.]{0,15}\s?[=:]\s?\S.*)$")
 SENTENCE_END = set(".!?…。:")
 
@@ -40,9 +43,10 @@ def pieces(line: str) -> Iterator[tuple[str, str]]:
     """Pieces of a line with what ends them: ``.`` a sentence end, ``,`` a separator, `` `` the line's end."""
     at = 0
     for m in CUT.finditer(line):
-        if m.start() > at:
-            yield line[at : m.start()], "." if m.group()[:1] in ".!?…。" and m.group() else ","
-        at = m.end()
+        mark, start = m.group()[0], m.start()
+        if start > at:
+            yield line[at:start], "." if mark in ".!?…。" else ","
+        at = start if mark == "#" else m.end()
     if at < len(line):
         yield line[at:], " "
 
@@ -74,15 +78,17 @@ def _repeated(said: list[list[str]], enough: float) -> tuple[int, int]:
     if sum(len(said[i]) for i in maybe) < enough:
         return 0, 0
     sets = [frozenset(x) for x in said]
+    sizes = [len(x) for x in sets]
     words = found = 0
     for i in maybe:
-        near = [j for j in range(max(0, i - REACH), min(len(said), i + REACH + 1)) if j != i]
-        near.sort(key=lambda j: -len(sets[i] & sets[j]) / len(sets[j]))
-        group = Counter(said[i])
-        for j in near[:ALIKE]:
-            group.update(said[j])
-        size = group.total()
-        if size < TOP_LEAST or len(group) > GROUP_DISTINCT * size or sum(n for _, n in group.most_common(TOP_WORDS)) < TOP_SHARE * size:
+        own = sets[i]
+        near = sorted([(-len(own & sets[j]) / sizes[j], j) for j in range(max(0, i - REACH), min(len(said), i + REACH + 1)) if j != i])
+        joined = said[i] + [w for _, j in near[:ALIKE] for w in said[j]]
+        size = len(joined)
+        if size < TOP_LEAST or len(set(joined)) > GROUP_DISTINCT * size:
+            continue
+        group = Counter(joined)
+        if sum(n for _, n in group.most_common(TOP_WORDS)) < TOP_SHARE * size:
             continue
         if sum(group[w] > 1 for w in said[i]) >= AGAIN * len(said[i]):
             words += len(said[i])
@@ -101,7 +107,7 @@ def judge(text: str | None) -> tuple[float, int, int, str]:
     shapes: Counter = Counter()
     kept: list[list[str]] = []  # words of what is like sentences, one list each
     for line in text.split("\n"):
-        links = LINK.findall(line) if MAYBE_LINK.search(line) else ()
+        links = LINK.findall(line) if "://" in line or "](" in line or DOTTED.search(line) else ()
         if links:
             n = len(WORD.findall(line))
             if n - sum(len(WORD.findall(x)) for x in links) <= 6 * len(links):  # links with labels
