@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlmill.sources.tables import spread
@@ -109,15 +109,19 @@ def url_figures(df: DataFrame, ends: dict[str, str], text: str) -> DataFrame:
     ``ends`` names the key columns, each with the column of its partners; the result has ``key_field, key_value``
     and the figures. One scan serves all keys. Distinct values are found by grouping on (key, value), which is
     combined before the shuffle and spreads a hot key over all tasks; only then are they added up per key with
-    the dense arrays. A null key has no row, a null partner counts as a row only.
+    the dense arrays. Values are told apart by 128 bits of hashes. A null key has no row, a null partner counts as a row only.
     """
     said = F.when(F.col(text) != "", F.col(text))
-    value = lambda side, key, kind, v: F.struct(F.lit(side).alias("side"), F.col(key).alias("k"), F.lit(kind).alias("kind"), v.cast("string").alias("v"))
-    each = F.array(*[value(str(i), key, kind, v) for i, (key, partner) in enumerate(ends.items()) for kind, v in (("p", F.col(partner)), ("t", said))])
-    pairs = df.select(F.inline(each)).filter("k is not null").groupBy("side", "k", "kind", "v").agg(F.count(F.lit(1)).alias("n"))
-    partner, there = F.col("kind") == "p", F.col("v").isNotNull()
+
+    def value(side: int, key: str, partner: bool, v: Column) -> Column:
+        digests = [F.xxhash64(v).alias("a"), F.xxhash64(F.lit(side + 1), v).alias("b")]
+        return F.struct(F.lit(side).alias("side"), F.col(key).alias("k"), F.lit(partner).alias("partner"), v.isNotNull().alias("there"), *digests)
+
+    each = F.array(*[value(i, key, kind, v) for i, (key, partner) in enumerate(ends.items()) for kind, v in ((True, F.col(partner)), (False, said))])
+    pairs = df.select(F.inline(each)).filter("k is not null").groupBy("side", "k", "partner", "there", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    partner, there = F.col("partner"), F.col("there")
     sums = {"links": F.when(partner, F.col("n")), "with_text": F.when(~partner & there, F.col("n")), "partners": F.when(partner & there, 1), "texts": F.when(~partner & there, 1)}
-    rows = pairs.select(F.concat("side", F.lit(":"), "k").alias("key"), *[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in sums.items()])
+    rows = pairs.select(F.concat(F.col("side").cast("string"), F.lit(":"), "k").alias("key"), *[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in sums.items()])
     out = dense_sums(rows, "key", {n: n for n in sums}, df.count() * 2 * len(ends))
     field = F.element_at(F.array(*map(F.lit, ends)), F.substring_index("key_value", ":", 1).cast("int") + 1)
     return out.select(field.alias("key_field"), F.expr("substring(key_value, instr(key_value, ':') + 1)").alias("key_value"), *sums)
