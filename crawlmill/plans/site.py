@@ -140,9 +140,16 @@ def url_redirect_chain(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("fetch_id", F.size("redirects").cast("long").alias("hops"), ordered[0]["hop"].alias("first_hop"), F.array_join(F.transform(ordered, lambda x: x["s"].cast("string")), ",").alias("statuses"))
 
 
-@query("url_robots")
+@query(
+    "url_robots",
+    f"""WITH f AS (SELECT {_HOST.format('requested_url')} AS host, min(body) AS body FROM fetch_result WHERE content_type LIKE 'text/plain%' AND body IS NOT NULL GROUP BY 1),
+      r AS (SELECT host, unnest(regexp_extract_all(body, '(?i)disallow:\\s*(\\S+)', 1)) AS rule FROM f),
+      q AS (SELECT DISTINCT {_HOST.format('url')} AS host, {_PATH.format('url')} AS path FROM page_record WHERE {_HOST.format('url')} IN (SELECT host FROM f)),
+      m AS (SELECT q.host, q.path, arg_max(rule, length(rule)) AS rule FROM q JOIN r ON r.host = q.host AND starts_with(q.path, r.rule) GROUP BY ALL)
+      SELECT q.host, q.path, m.rule IS NULL AS allowed, coalesce(m.rule, '') AS matched_rule, CAST(0 AS DOUBLE) AS crawl_delay FROM q LEFT JOIN m USING (host, path)""",
+)
 def url_robots(spark: SparkSession, sf: str) -> DataFrame:
-    """Decisions of the fetched robots files for every page of their host."""
+    """Decisions of the fetched robots files for every page of their host; the SQL knows files of one group that only refuse prefixes."""
     fetched = table(spark, sf, "fetch_result", "requested_url", "content_type", "body").filter("content_type like 'text/plain%' and body is not null")
     files = fetched.select(urls.host(F.col("requested_url")).alias("host"), "body").groupBy("host").agg(F.min("body").alias("body"))
     pages = table(spark, sf, "page_record", "url").distinct().select(urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
@@ -259,7 +266,27 @@ def rp_title(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "page_record", "page_id", "title").distinct().select("page_id", message.alias("message")).filter("message is not null")
 
 
-@query("rr_resource_findings")
+def _resource_sql() -> str:
+    """Findings of resources in SQL: condition and evidence of each rule, its texts from the table of findings."""
+    text, size = """'"content_type":"' || k || '"'""", """'"decoded_bytes":' || b"""
+    listed = {
+        "RR-01": ("s < 200 OR s >= 400", f"""'"status_code":' || s || ',' || {text}"""),
+        "RR-16b": (f"starts_with(k, 'image/') AND b > {rules.LARGE_IMAGE}", f"""{size} || ',"threshold_bytes":{rules.LARGE_IMAGE},' || {text}"""),
+        "RR-16c": ("k IN ('image/bmp', 'image/tiff')", text),
+        "RR-17a": ("pdf AND NOT contains(t, '/Title')", f"""'"check":"info_title",' || {size}"""),
+        "RR-17b": ("pdf AND NOT contains(t, '/Lang')", """'"check":"document_language"'"""),
+        "RR-17c": ("pdf AND NOT contains(t, '/Marked true') AND NOT contains(t, '/Marked(true)')", """'"check":"marked_content"'"""),
+        "RR-17d": ("pdf AND contains(t, '/Encrypt')", """'"encrypted":true'"""),
+    }
+    parts = []
+    for name, (condition, evidence) in listed.items():
+        rule, severity, message, kind = rules.FOUND[name]
+        parts.append(f"SELECT fetch_id, '{rule}' AS rule_id, '{severity}' AS severity, '{message}' AS message, '{{' || {evidence} || '}}' AS evidence, '{kind}' AS classification FROM p WHERE {condition}")
+    return f"""WITH r AS (SELECT DISTINCT fetch_id, coalesce(status_code, 0) AS s, lower(split_part(coalesce(content_type, ''), ';', 1)) AS k, coalesce(decoded_bytes, 0) AS b, coalesce(body, '') AS t
+      FROM fetch_result WHERE content_type NOT LIKE 'text/html%'), p AS (SELECT *, k = 'application/pdf' OR starts_with(t, '%PDF-') AS pdf FROM r) {' UNION ALL '.join(parts)}"""
+
+
+@query("rr_resource_findings", _resource_sql())
 def rr_resource_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of fetched resources that are no pages."""
     rows = table(spark, sf, "fetch_result", "fetch_id", "status_code", "content_type", "decoded_bytes", "body").filter("content_type not like 'text/html%'").dropDuplicates(["fetch_id"])

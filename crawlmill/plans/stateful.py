@@ -169,8 +169,11 @@ def gr_robots_blocked(spark: SparkSession, sf: str) -> DataFrame:
     return graph.robots_blocked(*_role(spark, sf, "url")).drop("crawl_id")
 
 
-def _finalize_sql() -> str:
-    """All findings in SQL: the rules of both sites, then those only the role-played one has evidence for."""
+def _finalize_sql(role: bool = True) -> str:
+    """All findings in SQL: the rules of both sites, then those only the role-played one has evidence for.
+
+    Without ``role`` the rules of the delivered crawls alone.
+    """
     out = []
 
     def add(rule: str, severity: str, kind: str, subject: str, evidence: str, rows: str) -> None:
@@ -179,7 +182,7 @@ def _finalize_sql() -> str:
     member = lambda name, value: f"""'"{name}":' || {value}"""
     both = lambda *m: " || ',' || ".join(m)
     noindex = "lower(coalesce({0}.robots_directives, '')) LIKE '%noindex%'"
-    for page, link, found, url in (("page", "link", "entry", "known"), ("r_page", "r_link", "r_found", "r_url")):
+    for page, link, found, url in (("page", "link", "entry", "known"), ("r_page", "r_link", "r_found", "r_url"))[: 1 + role]:
         bad = "(t.state IS NULL OR t.state = 'failed' OR t.status_code >= 400)"
         add("AUD-01", "error", "link", "link_id", member("status_code", "s"), f"SELECT l.crawl_id, l.link_id, coalesce(t.status_code, 0) AS s FROM {link} l LEFT JOIN {url} t ON t.crawl_id = l.crawl_id AND t.url = l.target_url WHERE l.kind = 'internal' AND l.target_url IS NOT NULL AND {bad}")
         for field in ("title", "meta_description"):
@@ -199,15 +202,16 @@ def _finalize_sql() -> str:
         add("AUD-11", "warning", "page", "page_id", both(member("depth", "depth"), member("threshold", "4")), f"SELECT * FROM {page} WHERE depth > 4")
         add("AUD-11", "warning", "page", "page_id", member("inlinks", "0"), f"SELECT * FROM {page} p WHERE depth > 0 AND NOT EXISTS (SELECT 1 FROM {link} l WHERE l.crawl_id = p.crawl_id AND l.kind = 'internal' AND l.target_url = p.url)")
         add("AUD-11", "info", "page", "page_id", member("nofollow_links", "n"), f"SELECT p.crawl_id, p.page_id, count(*) AS n FROM {page} p JOIN {link} l ON l.crawl_id = p.crawl_id AND l.source_url = p.url WHERE l.kind = 'internal' AND (' ' || lower(replace(l.rel, ',', ' ')) || ' ') LIKE '% nofollow %' GROUP BY p.crawl_id, p.page_id")
-    add("AUD-06", "error", "sitemap", "sitemap_id", """'"status":"' || status || '"'""", "SELECT * FROM r_sitemap WHERE status <> 'ok'")
-    add("AUD-07", "warning", "url", "crawl_url_id", """'"robots_decision":"disallowed"'""", "SELECT * FROM r_url WHERE robots_decision = 'disallowed'")
-    add(
-        "AUD-09", "warning", "page", "page_id", """'"hreflang":"' || language_code || '","reciprocal":false'""",
-        """SELECT h.crawl_id, h.page_id, h.language_code FROM r_hreflang h JOIN r_page s ON s.page_id = h.page_id LEFT JOIN r_page t ON t.url = h.target_url
-          WHERE t.page_id IS NULL OR NOT EXISTS (SELECT 1 FROM r_hreflang b WHERE b.page_id = t.page_id AND b.target_url = s.url)""",
-    )
-    add("AUD-10", "error", "image", "image_id", member("status_code", "status_code"), _IMAGES)
-    add("AUD-08", "warning", "page", "id", both(member("hamming_distance", "distance"), member("match", "match_id")), f"SELECT '{roles.CRAWL}' AS crawl_id, * FROM similar_pages")
+    if role:
+        add("AUD-06", "error", "sitemap", "sitemap_id", """'"status":"' || status || '"'""", "SELECT * FROM r_sitemap WHERE status <> 'ok'")
+        add("AUD-07", "warning", "url", "crawl_url_id", """'"robots_decision":"disallowed"'""", "SELECT * FROM r_url WHERE robots_decision = 'disallowed'")
+        add(
+            "AUD-09", "warning", "page", "page_id", """'"hreflang":"' || language_code || '","reciprocal":false'""",
+            """SELECT h.crawl_id, h.page_id, h.language_code FROM r_hreflang h JOIN r_page s ON s.page_id = h.page_id LEFT JOIN r_page t ON t.url = h.target_url
+              WHERE t.page_id IS NULL OR NOT EXISTS (SELECT 1 FROM r_hreflang b WHERE b.page_id = t.page_id AND b.target_url = s.url)""",
+        )
+        add("AUD-10", "error", "image", "image_id", member("status_code", "status_code"), _IMAGES)
+        add("AUD-08", "warning", "page", "id", both(member("hamming_distance", "distance"), member("match", "match_id")), f"SELECT '{roles.CRAWL}' AS crawl_id, * FROM similar_pages")
     similar = site.ORACLES["gr_near_duplicates"].replace("WITH ", "", 1)
     head, tail = similar.rsplit("SELECT id, match_id", 1)
     views = f"""WITH {ev.SQL}, known AS (SELECT crawl_id, url, CASE WHEN coalesce(status_code, 0) = 0 THEN 'failed' ELSE 'analysed' END AS state, status_code FROM page),
@@ -217,6 +221,12 @@ def _finalize_sql() -> str:
       CASE WHEN rule_id = 'AUD-06' THEN 'sitemap' WHEN subject_type IN ('link', 'image', 'url') OR rule_id IN ('AUD-08', 'AUD-11') THEN 'graph' ELSE 'raw' END AS evidence_source FROM every"""
 
 
+@query("gr_finalize_delivered", _finalize_sql(role=False))
+def gr_finalize_delivered(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings of the delivered crawls alone, by the rules they have evidence for."""
+    return graph.finalize(ev.pages(spark, sf), ev.links(spark, sf, "source_url", "target_url", "rel", "kind"), ev.discovered(spark, sf))
+
+
 @query("gr_finalize", _finalize_sql())
 def gr_finalize(spark: SparkSession, sf: str) -> DataFrame:
     """All whole-site findings of the delivered crawls and of the role-played one, which has evidence for every rule."""
