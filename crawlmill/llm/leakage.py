@@ -173,8 +173,11 @@ def search(index: Index, docs: list[list[str]]) -> list[tuple[int, int, float, i
     at = starts[:, None] + np.arange(PASSAGE)
     ids = np.where(at < stops[:, None], flat[np.minimum(at, len(flat) - 1)], unknown)
     found: dict[tuple[int, int], float] = {}
-    for lo in range(0, len(ids), 2000):
-        for p, k, score in _scored(index, ids[lo : lo + 2000]):
+    walked = np.cumsum((index.pivot_from[ids + 1] - index.pivot_from[ids]).sum(1))
+    part = walked // LOOKUPS + np.arange(len(ids)) // 2000  # passages taken together: bounded in number and in lookups
+    cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    for lo, hi in zip(cuts, [*cuts[1:], len(ids)]):
+        for p, k, score in _scored(index, ids[lo:hi]):
             key = (int(owner[lo + p]), k)
             found[key] = max(found.get(key, 0.0), score)
     # Runs of the documents found, to verify the shared words.

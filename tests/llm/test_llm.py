@@ -166,7 +166,7 @@ def test_md5_of_article_blocks(spark):
     assert all(r.block_md5 == hashlib.md5(r.block.encode()).hexdigest() for r in got)
 
 
-def test_leakage_against_brute_force(spark):
+def test_leakage_against_brute_force(spark, monkeypatch):
     random.seed(6)
     vocabulary = [f"w{i}" for i in range(60)] + ["Über", "x_y", "1.5"]
     items = [(i, " ".join(random.choices(vocabulary, k=random.choice([0, 3, 7, 10, 14, 40])))) for i in range(40)] + [(99, None)]
@@ -192,6 +192,10 @@ def test_leakage_against_brute_force(spark):
     dd = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
     ii = spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in leakage.leaks(dd, ii).collect()} == want and want
+    monkeypatch.setattr(leakage, "LOOKUPS", 50)  # few postings at once give the same
+    texts = [leakage.words_of(t) for _, t, _ in docs]
+    got = {(docs[d][0], int(index.items[k])) for index in leakage.build(items) for d, k, _, _ in leakage.search(index, texts)}
+    assert got == want
     assert leakage.leaks(dd, ii.limit(0)).count() == 0 and leakage.leaks(dd.limit(0), ii).count() == 0
 
 
