@@ -100,7 +100,9 @@ def page_detail(pages: DataFrame, links: DataFrame, data: DataFrame, issues: Dat
     """
 
     def first(rows: DataFrame, keys: list[str], order: str, most: int, name: str) -> DataFrame:
-        kept = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("__n") <= most).drop("__n")
+        salt = F.pmod(F.xxhash64(order), F.lit(64))  # the first of each part, then of all: one task never sees more than 64 times ``most`` rows of a key
+        kept = rows.withColumn("__salt", salt).withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__salt").orderBy(order))).filter(F.col("__n") <= most)
+        kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("__n") <= most).drop("__n", "__salt")
         rest = [order, *[c for c in rows.columns if c not in (*keys, order)]]
         return kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
 

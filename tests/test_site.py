@@ -180,6 +180,20 @@ def test_record_differences(spark):
     assert reads.record_differences(a, a, ["k"]).count() == 0 and reads.record_differences(page(None), page(None), ["k"]).count() == 0
 
 
+def test_page_detail_keeps_the_first_parts(spark, monkeypatch):
+    """A page that nearly all links lead to gathers the first ones only; pages without parts have none."""
+    monkeypatch.setattr(reads, "MOST_LINKS", 5)
+    pages = spark.createDataFrame([("c", "a", 1), ("c", "b", 2)], "crawl_id string, url string, page_id long")
+    links = spark.createDataFrame([("c", "b", "a", i, None, None, None) for i in range(400, 0, -1)] + [("c", None, None, 900, None, None, None)], "crawl_id string, source_url string, target_url string, link_id long, anchor_text string, rel string, kind string")
+    data = spark.createDataFrame([(7, 1, "f", None)], "structured_data_id long, page_id long, format string, type_summary string")
+    issues = spark.createDataFrame([(3, "page", "x", "R", None, None, None), (4, "page", "2", "R", "info", None, None)], "issue_id long, subject_type string, subject_id string, rule_id string, severity string, classification string, evidence_json string")
+    modes = spark.createDataFrame([("c", "a", "raw", "t"), ("c", "a", "rendered", None), ("c", "b", "raw", "t")], "crawl_id string, url string, extraction_mode string, title string")
+    got = {r.url: r for r in reads.page_detail(pages, links, data, issues, modes, ["title"]).collect()}
+    assert [x.link_id for x in got["a"].inlinks] == [x.link_id for x in got["b"].outlinks] == [1, 2, 3, 4, 5]
+    assert got["a"].outlinks is None and [x.issue_id for x in got["b"].issues] == [4] and got["a"].structured_data[0].structured_data_id == 7
+    assert [(x.field, x.raw, x.rendered) for x in got["a"].render_differences] == [("title", "t", "")] and got["b"].render_differences is None
+
+
 def test_artifacts(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, None), ("b", 2, "x"), ("a", 3, "y")], "k string, n int, t string")
     one = exports.record(df, str(tmp_path / "r"), "report", 30).first()
