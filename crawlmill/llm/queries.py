@@ -73,14 +73,18 @@ def p4_article_text(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("record_kind", "record_key").agg(F.array_join(F.transform(lines, lambda b: b["block"]), "\n").alias("article_text"))
 
 
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "eval_item", "item_id", "text"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and the evaluation items they hold passages of."""
-    return p8_leaks(spark, sf).select("doc_id", "item_id").distinct()
+    return _leaks(spark, sf).select("doc_id", "item_id").distinct()
 
 
 def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    """Leaks with the best passage's score and how many of the item's words are shared."""
-    return leakage.leaks(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "eval_item", "item_id", "text"))
+    """Leaks with how many of the item's words stand in shared passages."""
+    return _leaks(spark, sf).select("doc_id", "item_id", "shared_words", "item_words").distinct()
 
 
 def p9_selection(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,15 +129,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_shapes": p10_shapes,
 }
 
-ORACLES: dict[str, str] = {
-    "p2_found": _P2_KEYS + " SELECT first_id AS first_page_id, page_id AS copy_page_id FROM g WHERE page_id <> first_id",
-    "p2_copies": _P2_KEYS + " SELECT crawl_id, first_id, CAST(max(c) AS BIGINT) AS copies FROM g WHERE c > 1 GROUP BY crawl_id, first_id",
-    "p8_found": """
+_P8_RUNS = """
   WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS w FROM documents WHERE text <> ''),
   i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS w FROM eval_item WHERE text IS NOT NULL),
   s AS (SELECT item_id, w, least(10, len(w)) AS n FROM i WHERE len(w) > 0),
-  g AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM s)),
+  g AS (SELECT item_id, n, k, len(w) AS item_words, array_to_string(w[k:k + n - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM s)),
   e AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS run
-        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM s)))
-  SELECT DISTINCT doc_id, item_id FROM e JOIN g USING (n, run)""",
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM s)))"""
+
+ORACLES: dict[str, str] = {
+    "p2_found": _P2_KEYS + " SELECT first_id AS first_page_id, page_id AS copy_page_id FROM g WHERE page_id <> first_id",
+    "p2_copies": _P2_KEYS + " SELECT crawl_id, first_id, CAST(max(c) AS BIGINT) AS copies FROM g WHERE c > 1 GROUP BY crawl_id, first_id",
+    "p8_found": _P8_RUNS + " SELECT DISTINCT doc_id, item_id FROM e JOIN g USING (n, run)",
+    "p8_leaks": _P8_RUNS + """,
+  c AS (SELECT DISTINCT doc_id, item_id, item_words, unnest(range(k, k + n)) AS word FROM e JOIN g USING (n, run))
+  SELECT doc_id, item_id, count(*) AS shared_words, item_words FROM c GROUP BY doc_id, item_id, item_words""",
 }
